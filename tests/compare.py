@@ -39,8 +39,10 @@ def oracle_rows(sql: str, folder: str):
 
 
 def normal(names, rows):
+    """Columns and rows in one fixed order; negative zero reads as zero."""
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted([tuple(row[i] for i in order) for row in rows],
+    return sorted([tuple(row[i] + 0.0 if isinstance(row[i], float) else row[i] for i in order)
+                   for row in rows],
                   key=lambda row: [(v is None, str(v)) for v in row])
 
 
