@@ -1,16 +1,12 @@
-"""Value distributions: the compact form that medians and running totals work on.
-
-A distribution holds one row per distinct (group, value) with the number of rows
-and their sum. Building it combines on the map side, so a value shared by a third
-of all rows costs one row per task. Its size is bounded by the money domain, not
-by the roll.
-
-Each value also gets a cell: a coarse, order-preserving code computed from the
-value alone. Cells are logarithmic, 1024 to an octave, and decimal(18,2) spans
-under 60 octaves on either side of zero. There can hence be no more than
-``MAX_CELLS`` of them per group, whatever the data; frames with one row per
-(group, cell) are small by construction, and groups come from closed label lists.
-A cell holds at most value/1400 distinct amounts in cents.
+"""Order statistics without sorting the roll: cells, medians and standings.
+
+Each amount has a cell, a coarse order-preserving code computed from the amount
+alone. Cells are logarithmic, 1024 to an octave; decimal(18,2) spans under 60
+octaves on either side of zero, so there are no more than ``MAX_CELLS`` of them per
+group, whatever the data. Totals per (group, cell) combine on the map side and are
+small by construction, since groups come from closed label lists: they may be
+broadcast and put in order by one task. Whatever needs single amounts then looks
+at the few cells that matter, where equal amounts count as one row.
 """
 
 from __future__ import annotations
@@ -37,77 +33,119 @@ def cell_of(value: Column) -> Column:
             .otherwise(F.lit(0)))
 
 
-def distribution(rows: DataFrame, value: str, by: Sequence[str] = (),
-                 carry: Sequence[str] = ()) -> DataFrame:
-    """Columns: ``by``, ``valor``, ``n``, ``soma``, the summed ``carry``, ``cell``."""
+def cell_totals(rows: DataFrame, value: str, by: Sequence[str] = (),
+                carry: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
+    """Per group and cell: rows ``n``, rows with an amount ``com_valor``, their sum
+    ``soma`` and largest ``maior``, the sums of ``carry`` and the ``extra`` aggregates."""
+    amount = F.col(value)
     return (rows
-            .groupBy(*by, F.col(value).alias("valor"))
+            .withColumn("cell", cell_of(amount))
+            .groupBy(*by, "cell")
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(value).cast(WIDE_MONEY).alias("soma"),
-                 *[F.sum(c).cast(WIDE_MONEY).alias(c) for c in carry])
-            .withColumn("cell", cell_of(F.col("valor"))))
+                 F.count(amount).alias("com_valor"),
+                 F.sum(amount).cast(WIDE_MONEY).alias("soma"),
+                 F.max(amount).alias("maior"),
+                 *[F.sum(c).cast(WIDE_MONEY).alias(c) for c in carry],
+                 *extra))
 
 
-def descending_standing(dist: DataFrame) -> DataFrame:
-    """Add what lies before each value when all rows are sorted largest first, NULL last.
+def amounts(rows: DataFrame, value: str) -> DataFrame:
+    """Every distinct amount as ``valor`` with its row count ``n``, sum and cell."""
+    return (rows
+            .groupBy(F.col(value).alias("valor"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(cell_of(F.col("valor")).alias("cell"), "valor", "n",
+                    (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
 
-    ``n_antes`` and ``soma_antes`` are the row count and sum of strictly larger
-    values, ``total`` the sum of everything. The order is resolved between cells
-    on the cell totals (at most ``MAX_CELLS`` rows) and within a cell by a window
-    per cell, so no task sees the whole distribution.
-    """
-    larger_cells = Window.orderBy(F.desc("cell")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (dist
-               .groupBy("cell")
-               .agg(F.sum("n").alias("n"), F.sum("soma").cast(WIDE_MONEY).alias("soma"))
-               .select("cell",
-                       F.sum("n").over(larger_cells).alias("n_celulas"),
-                       F.sum("soma").over(larger_cells).alias("soma_celulas"),
-                       F.sum("soma").over(Window.partitionBy()).alias("total")))
-    larger_here = (Window.partitionBy("cell").orderBy(F.desc("valor"))
-                   .rowsBetween(Window.unboundedPreceding, -1))
-
-    def before(outer: str, inner: str) -> Column:
-        return (F.coalesce(F.col(outer), F.lit(0))
-                + F.coalesce(F.sum(inner).over(larger_here), F.lit(0)))
 
-    return (dist
-            .join(F.broadcast(offsets), "cell")
-            .select("cell", "valor", "n", "soma",
-                    before("n_celulas", "n").cast("long").alias("n_antes"),
-                    before("soma_celulas", "soma").cast(WIDE_MONEY).alias("soma_antes"),
-                    F.col("total").cast(WIDE_MONEY).alias("total")))
+def amounts_in(rows: DataFrame, value: str, cells: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Distinct amounts of the rows that fall in ``cells``, with all columns of ``cells``.
+
+    ``cells`` holds a few cells per group and is sent to every task; rows elsewhere
+    are dropped before anything is shuffled.
+    """
+    return (rows
+            .withColumn("cell", cell_of(F.col(value)))
+            .join(F.broadcast(cells), list(on))
+            .groupBy(*cells.columns, F.col(value).alias("valor"))
+            .agg(F.count(F.lit(1)).alias("n_valor")))
 
 
-def exact_median(dist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Exact median per group as ``mediana``; one row even without groups or data.
+# --- medians ----------------------------------------------------------------------------
 
-    The two middle places are located among the cell totals first; only the rows
-    of those cells are sorted. The mean of two middles is cut to cents towards zero.
-    """
+def middle_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Where the two middle amounts of each group lie: ``cell``, which of the two, and
+    its place among the cell's amounts in ascending order."""
     by = list(by)
-    filled = dist.filter(F.col("valor").isNotNull())
     group = Window.partitionBy(*by)
-    up_to_cell = group.orderBy("cell")
-    middles = (filled
-               .groupBy(*by, "cell").agg(F.sum("n").alias("n"))
-               .select(*by, "cell", "n",
-                       (F.sum("n").over(up_to_cell) - F.col("n")).alias("n_antes"),
-                       F.sum("n").over(group).alias("m"))
-               .select(*by, "cell", "n", "n_antes",
-                       F.posexplode(F.array(F.expr("(m + 1) div 2"),
-                                            F.expr("m div 2 + 1")))
-                       .alias("which", "place"))
-               .filter(F.expr("n_antes < place and place <= n_antes + n"))
-               .select(*by, "cell", "which", (F.col("place") - F.col("n_antes")).alias("place")))
-    inside = Window.partitionBy(*by, "which").orderBy("valor")
-    picked = (filled
-              .join(F.broadcast(middles), [*by, "cell"])
-              .withColumn("upto", F.sum("n").over(inside))
-              .filter(F.expr("upto - n < place and place <= upto")))
-    both = (F.sum("valor") * 100).cast("long")
+    return (cells
+            .filter(F.col("com_valor") > 0)
+            .groupBy(*by, "cell").agg(F.sum("com_valor").alias("n"))
+            .select(*by, "cell", "n",
+                    F.sum("n").over(group.orderBy("cell")).alias("ate"),
+                    F.sum("n").over(group).alias("m"))
+            .select(*by, "cell", (F.col("ate") - F.col("n")).alias("antes"), "ate",
+                    F.posexplode(F.array(F.expr("(m + 1) div 2"), F.expr("m div 2 + 1")))
+                    .alias("meio", "lugar"))
+            .filter(F.expr("antes < lugar and lugar <= ate"))
+            .select(*by, "cell", "meio", (F.col("lugar") - F.col("antes")).alias("lugar")))
+
+
+def median_of(middle_amounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Exact median per group as ``mediana`` from the amounts of its middle cells.
+
+    The mean of two middles is cut to cents towards zero. Without groups there is one
+    row, NULL for no data.
+    """
+    inside = Window.partitionBy(*by, "meio").orderBy("valor")
+    picked = (middle_amounts
+              .withColumn("ate", F.sum("n_valor").over(inside))
+              .filter(F.expr("ate - n_valor < lugar and lugar <= ate")))
     return (picked
-            .groupBy(*by).agg(both.alias("both"))
-            .select(*by, (F.expr("both div 2") * F.lit("0.01").cast("decimal(3,2)"))
-                    .cast(MONEY).alias("mediana")))
+            .groupBy(*by)
+            .agg((F.sum("valor") * 100).cast("long").alias("ambos"))
+            .select(*by, (F.expr("ambos div 2").cast("decimal(20,0)") / 100).cast(MONEY).alias("mediana")))
+
+
+def exact_median(rows: DataFrame, value: str, cells: DataFrame,
+                 by: Sequence[str] = ()) -> DataFrame:
+    """Median of ``value`` per group, given the cell totals of the same rows."""
+    middles = middle_cells(cells, by)
+    return median_of(amounts_in(rows, value, middles, [*by, "cell"]), by)
+
+
+# --- standings ----------------------------------------------------------------------------
+
+def _larger(column: str, window) -> Column:
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+
+def cell_standing(cells: DataFrame) -> DataFrame:
+    """Add the row count and sum of all larger cells, and the sum of everything."""
+    larger = (Window.orderBy(F.desc("cell"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return cells.select(
+        "*",
+        _larger("n", larger).cast("long").alias("n_antes"),
+        _larger("soma", larger).cast(WIDE_MONEY).alias("soma_antes"),
+        F.sum("soma").over(Window.partitionBy()).cast(WIDE_MONEY).alias("total"))
+
+
+def amount_standing(dist: DataFrame, standing: DataFrame) -> DataFrame:
+    """Refine the standing of cells to their amounts.
+
+    All rows are thought of as sorted largest first, NULL last; ``n_antes`` and
+    ``soma_antes`` are the row count and sum of strictly larger amounts. ``dist`` has
+    the amounts of the cells of interest, and each cell is put in order on its own.
+    """
+    larger = (Window.partitionBy("cell").orderBy(F.desc("valor"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = standing.select("cell", F.col("n_antes").alias("n_celulas"),
+                              F.col("soma_antes").alias("soma_celulas"), "total")
+    return (dist
+            .join(F.broadcast(offsets), "cell")
+            .select("cell", "valor", "n", "soma",
+                    (F.col("n_celulas") + _larger("n", larger)).alias("n_antes"),
+                    (F.col("soma_celulas") + _larger("soma", larger)).cast(WIDE_MONEY)
+                    .alias("soma_antes"),
+                    "total"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from debtatlas.functions.money import MONEY, WIDE_MONEY, mean, ratio, ratio_percent, round2
-from debtatlas.operators.distribution import distribution, exact_median
+from debtatlas.operators.distribution import cell_totals, exact_median
 from debtatlas.session import settle
 
 SELECTED = "valor_divida_selecionada"
@@ -15,21 +15,32 @@ SELECTED = "valor_divida_selecionada"
 def macro_metrics(silver: DataFrame) -> DataFrame:
     """Counts, sums, share, mean, median, bounds and spread of the whole roll.
 
-    Distinct documents and the median are computed apart and attached as scalars:
-    the first shuffles nothing but documents, the second only distinct amounts,
-    and the plain aggregates never leave the map side until one row per task is left.
+    One pass takes totals per cell, from which all but two columns follow; the
+    spread is put together from the spread within cells and between their means.
+    The median looks once more at its own cell, and distinct documents are counted
+    apart, so that only documents are shuffled.
     """
-    median = exact_median(settle(distribution(silver.select(SELECTED), SELECTED)))
+    amount = F.col(SELECTED)
+    cells = settle(cell_totals(silver, SELECTED, carry=["valor_total"], extra=[
+        F.min(amount).alias("menor"), F.avg(amount.cast("double")).alias("media"),
+        F.var_pop(amount).alias("variancia")]))
+    median = exact_median(silver, SELECTED, cells)
     documents = silver.agg(F.count_distinct("cpf_cnpj").alias("devedores_unicos"))
-    selected = F.col(SELECTED)
-    totals = silver.agg(
-        F.count(F.lit(1)).alias("total_registros"),
-        F.count(selected).alias("com_valor"),
-        F.sum(selected).cast(WIDE_MONEY).alias("montante_total_fgts"),
-        F.sum("valor_total").cast(WIDE_MONEY).alias("montante_divida_total_uniao"),
-        F.min(selected).cast(MONEY).alias("menor_divida_fgts"),
-        F.max(selected).cast(MONEY).alias("maior_divida_fgts"),
-        round2(F.stddev_samp(selected)).alias("desvio_padrao_fgts"))
+    everything = Window.partitionBy()
+    total_mean = (F.sum(F.col("com_valor") * F.col("media")).over(everything)
+                  / F.sum("com_valor").over(everything))
+    squares = F.col("com_valor") * (F.col("variancia") + F.pow(F.col("desvio"), 2))
+    totals = (cells
+              .withColumn("desvio", F.when(F.col("com_valor") > 0, F.col("media") - total_mean))
+              .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_registros"),
+                   F.sum("com_valor").alias("com_valor"),
+                   F.sum("soma").cast(WIDE_MONEY).alias("montante_total_fgts"),
+                   F.sum("valor_total").cast(WIDE_MONEY).alias("montante_divida_total_uniao"),
+                   F.min("menor").cast(MONEY).alias("menor_divida_fgts"),
+                   F.max("maior").cast(MONEY).alias("maior_divida_fgts"),
+                   F.sum(squares).alias("quadrados")))
+    spread = F.when(F.col("com_valor") > 1,
+                    F.sqrt(F.col("quadrados") / (F.col("com_valor") - 1)))
     return totals.select(
         "total_registros",
         documents.scalar().alias("devedores_unicos"),
@@ -41,7 +52,7 @@ def macro_metrics(silver: DataFrame) -> DataFrame:
         median.scalar().alias("mediana_fgts"),
         "menor_divida_fgts",
         "maior_divida_fgts",
-        "desvio_padrao_fgts")
+        round2(spread).alias("desvio_padrao_fgts"))
 
 
 def dispersion(silver: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from debtatlas.functions.money import (
-    WIDE_MONEY, percent_of, ratio, ratio_percent)
-from debtatlas.operators.distribution import descending_standing, distribution
+    MONEY, WIDE_MONEY, percent_of, ratio, ratio_percent)
+from debtatlas.operators.distribution import (
+    amount_standing, amounts, amounts_in, cell_standing, cell_totals, median_of, middle_cells)
 from debtatlas.operators.ranking import TASK_ROWS, position_within
-from debtatlas.operators.segments import summarise_distribution
+from debtatlas.operators.segments import summarise
 from debtatlas.session import settle
 
 SELECTED = "valor_divida_selecionada"
@@ -39,22 +40,31 @@ def _tier(running: Column, total: Column) -> Column:
 
 # --- rows ---------------------------------------------------------------------------
 
+def _cents(value: Column) -> Column:
+    """Whole cents, NULL below all others: a join and window key that is never NULL."""
+    return F.coalesce((value * 100).cast("long"), F.lit(-2 ** 63))
+
+
+def _cells_of(dist: DataFrame) -> DataFrame:
+    return dist.groupBy("cell").agg(F.sum("n").alias("n"),
+                                    F.sum("soma").cast(WIDE_MONEY).alias("soma"))
+
+
 def pareto_rows(silver: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Each record with its rank, running total, share and tier."""
-    # Whole cents, NULL below all others: a join and window key that is never NULL.
-    cents = F.coalesce((F.col(SELECTED) * 100).cast("long"), F.lit(-2 ** 63))
-    rows = silver.select("cpf_cnpj", "nome_devedor", SELECTED, cents.alias("centavos"))
-    standing = (descending_standing(settle(distribution(silver.select(SELECTED), SELECTED)))
-                .withColumn("centavos", F.coalesce((F.col("valor") * 100).cast("long"),
-                                                   F.lit(-2 ** 63))))
-    standing = settle(standing.select("centavos", "n", "n_antes", "soma_antes", "total"))
+    rows = silver.select("cpf_cnpj", "nome_devedor", SELECTED,
+                         _cents(F.col(SELECTED)).alias("centavos"))
+    dist = settle(amounts(silver, SELECTED))
     placed = position_within(
         rows, ["centavos"],
         [F.asc_nulls_last("cpf_cnpj"), F.asc_nulls_last("nome_devedor")],
-        standing, task_rows)
+        dist.select(_cents(F.col("valor")).alias("centavos"), "n"), task_rows)
+    standing = (amount_standing(dist, cell_standing(_cells_of(dist)))
+                .withColumn("centavos", _cents(F.col("valor")))
+                .select("centavos", "n_antes", "soma_antes", "total"))
     running = F.col("soma_antes") + F.col("position") * F.coalesce(F.col(SELECTED), F.lit(0))
     return (placed
-            .join(standing.drop("n"), "centavos")
+            .join(standing, "centavos")
             .withColumn("soma_acumulada_fgts",
                         F.when(F.col("total").isNotNull(), running).cast(WIDE_MONEY))
             .select("cpf_cnpj", "nome_devedor", SELECTED,
@@ -96,8 +106,8 @@ def _copies_within(limit: float) -> Column:
             .cast("long"))
 
 
-def _tier_pieces(standing: DataFrame) -> DataFrame:
-    """Split each value's copies by tier: ``faixa_pareto, valor, n, soma, de, ate, cell``."""
+def _split_by_tier(standing: DataFrame) -> DataFrame:
+    """Divide the copies of each amount among the tiers."""
     limits = [limit for limit, _ in TIERS]
     labels = [name for _, name in TIERS] + [TAIL]
     counted = standing.select("*", *[_copies_within(limit).alias(f"ate_{i}")
@@ -106,29 +116,57 @@ def _tier_pieces(standing: DataFrame) -> DataFrame:
               F.col("n")]
     # Shares fall along equal amounts when amount and total differ in sign; the
     # copies of the lowest tier then come last.
-    falling = (F.col("valor") < 0) != (F.col("total") < 0)
-    pieces = []
-    for label, low, high in zip(labels, bounds, bounds[1:]):
-        skipped = F.when(F.coalesce(falling, F.lit(False)), F.col("n") - high).otherwise(low)
-        pieces.append(F.struct(F.lit(label).alias("faixa_pareto"),
-                               (high - low).alias("n"),
-                               (F.col("n_antes") + skipped).alias("antes")))
+    falling = F.coalesce((F.col("valor") < 0) != (F.col("total") < 0), F.lit(False))
+    pieces = [F.struct(F.lit(label).alias("faixa_pareto"),
+                       (high - low).alias("n"),
+                       (F.col("n_antes") + F.when(falling, F.col("n") - high).otherwise(low))
+                       .alias("antes"))
+              for label, low, high in zip(labels, bounds, bounds[1:])]
     return (counted
             .select("cell", "valor", F.explode(F.array(*pieces)).alias("p"))
-            .select("p.faixa_pareto", "valor", "p.n", "cell",
-                    (F.col("p.n") * F.col("valor")).cast(WIDE_MONEY).alias("soma"),
-                    (F.col("p.antes") + 1).alias("de"),
-                    (F.col("p.antes") + F.col("p.n")).alias("ate"))
+            .select("p.faixa_pareto", "cell", "valor", "p.n", "p.antes")
             .filter(F.col("n") > 0))
 
 
 def pareto_summary(silver: DataFrame) -> DataFrame:
-    """Per tier: first and last rank, counts, sums, shares, mean and median."""
-    standing = descending_standing(settle(distribution(silver.select(SELECTED), SELECTED)))
-    pieces = settle(_tier_pieces(standing))
-    return (summarise_distribution(
-                pieces, "faixa_pareto",
-                [F.min("de").alias("rank_inicial"), F.max("ate").alias("rank_final")])
+    """Per tier: first and last rank, counts, sums, shares, mean and median.
+
+    Amounts in a cell have one sign, so the running share moves one way through it
+    and a cell whose two ends agree lies in one tier. Only the cells that a limit
+    cuts are looked into, and after that the cells that hold a median.
+    """
+    rows = silver.select(SELECTED)
+    standing = settle(cell_standing(cell_totals(rows, SELECTED)))
+    at_top = F.col("soma_antes") + F.coalesce(F.col("maior"), F.lit(0))
+    at_end = F.col("soma_antes") + F.coalesce(F.col("soma"), F.lit(0))
+    tier = _tier(at_end, F.col("total"))
+    cut = tier != _tier(at_top, F.col("total"))
+    whole = standing.filter(~cut).select(
+        tier.alias("faixa_pareto"), "cell", F.lit(None).cast(MONEY).alias("valor"),
+        "n", F.col("n_antes").alias("antes"), "com_valor", "soma")
+    amounts_cut = (amounts_in(rows, SELECTED, standing.filter(cut).select("cell"), ["cell"])
+                   .select("cell", "valor", F.col("n_valor").alias("n"),
+                           (F.col("n_valor") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
+    split = _split_by_tier(amount_standing(amounts_cut, standing)).select(
+        "*", F.col("n").alias("com_valor"),
+        (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma"))
+    pieces = settle(whole.unionByName(split)
+                    .withColumn("maior", F.lit(None).cast(MONEY))
+                    .withColumn("de", F.col("antes") + 1)
+                    .withColumn("ate", F.col("antes") + F.col("n")))
+
+    # A whole cell is in one tier, so its rows are found by cell alone.
+    middles = middle_cells(pieces, ["faixa_pareto"])
+    in_whole = amounts_in(
+        rows, SELECTED,
+        middles.join(F.broadcast(pieces.filter(F.col("valor").isNull()).select("cell")),
+                     "cell", "left_semi"), ["cell"])
+    in_split = (pieces.filter(F.col("valor").isNotNull())
+                .select("faixa_pareto", "cell", "valor", F.col("n").alias("n_valor"))
+                .join(F.broadcast(middles), ["faixa_pareto", "cell"]))
+    medians = median_of(in_whole.unionByName(in_split), ["faixa_pareto"])
+    return (summarise(pieces, medians, "faixa_pareto",
+                      [F.min("de").alias("rank_inicial"), F.max("ate").alias("rank_final")])
             .select("faixa_pareto", "rank_inicial", "rank_final", "total_devedores",
                     "pct_devedores", "montante_fgts", "pct_montante_fgts",
                     "ticket_medio_fgts", "mediana_fgts")

@@ -38,10 +38,8 @@ def position_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
     """Add ``position``: 1, 2, ... per group of ``by`` in ``order``.
 
     ``sizes`` is a settled frame with the row count ``n`` of each group that may be
-    large. Ties left by ``order`` are settled by the remaining columns.
+    large. ``by`` and ``order`` together tell any two different rows apart.
     """
-    known = set(by)
-    order = list(order) + [F.asc_nulls_last(c) for c in rows.columns if c not in known]
     stats = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     bar = max(task_rows, ceil((stats.total or 0) / MAX_OVERSIZED))
     numbered = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")

@@ -11,26 +11,25 @@ from debtatlas.functions.labels import (
     PRIVATE_SECTOR, PUBLIC_SECTOR, debt_profile, entity_type, institutional_sector)
 from debtatlas.functions.money import (
     MONEY, WIDE_MONEY, mean, percent_of, ratio, ratio_percent, round2)
-from debtatlas.operators.distribution import distribution, exact_median
+from debtatlas.operators.distribution import cell_totals, exact_median
 from debtatlas.session import settle
 
 SELECTED = "valor_divida_selecionada"
 TOTAL = "valor_total"
 
 
-def summarise_distribution(dist: DataFrame, label: str,
-                           extra: Sequence[Column] = ()) -> DataFrame:
-    """Counts, sums, mean, median and shares per label of a (label, valor) distribution.
+def summarise(cells: DataFrame, medians: DataFrame, label: str,
+              extra: Sequence[Column] = ()) -> DataFrame:
+    """Counts, sums, means and shares per label from totals of its parts.
 
-    ``label`` has a short closed list of outcomes, so the joins and the share
-    window below handle a few rows.
+    ``label`` has a short closed list of outcomes, so joining the medians and taking
+    shares handles a few rows.
     """
-    with_value = F.sum(F.when(F.col("valor").isNotNull(), F.col("n")))
-    groups = dist.groupBy(label).agg(
+    groups = cells.groupBy(label).agg(
         F.sum("n").alias("total_devedores"),
         F.sum("soma").cast(WIDE_MONEY).alias("montante_fgts"),
-        with_value.alias("com_valor"),
-        F.max("valor").cast(MONEY).alias("maior_divida_fgts"),
+        F.sum("com_valor").alias("com_valor"),
+        F.max("maior").cast(MONEY).alias("maior_divida_fgts"),
         *extra)
     everyone = Window.partitionBy()
 
@@ -38,7 +37,7 @@ def summarise_distribution(dist: DataFrame, label: str,
         return percent_of(F.col(column), F.sum(column).over(everyone))
 
     return (groups
-            .join(F.broadcast(exact_median(dist, [label])), label, "left")
+            .join(F.broadcast(medians), label, "left")
             .withColumn("pct_devedores", share("total_devedores"))
             .withColumn("pct_montante_fgts", share("montante_fgts"))
             .withColumn("ticket_medio_fgts", mean(F.col("montante_fgts"), F.col("com_valor")))
@@ -46,10 +45,12 @@ def summarise_distribution(dist: DataFrame, label: str,
 
 
 def segment_summary(rows: DataFrame, label: str, carry: Sequence[str] = ()) -> DataFrame:
-    """Summary of labelled rows; the rows, and the label rule, are read once."""
-    dist = settle(distribution(rows, SELECTED, by=[label], carry=carry))
-    extra = [F.sum(c).cast(WIDE_MONEY).alias(c) for c in carry]
-    return summarise_distribution(dist, label, extra)
+    """Summary of labelled rows in two passes that shuffle a few thousand rows each:
+    totals per label and cell, then the amounts in the cells of the medians."""
+    cells = settle(cell_totals(rows, SELECTED, by=[label], carry=carry))
+    medians = exact_median(rows, SELECTED, cells, [label])
+    return summarise(cells, medians, label,
+                     [F.sum(c).cast(WIDE_MONEY).alias(c) for c in carry])
 
 
 # --- persons and companies -------------------------------------------------------

@@ -1,7 +1,9 @@
+import tempfile
 from decimal import Decimal
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from compare import local_session, normal
@@ -18,7 +20,9 @@ REPORT_SQL = oracles._report_sql("stg AS (SELECT * FROM roll)")
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session()
+    session = local_session()
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    return session
 
 
 def money(value):
@@ -30,9 +34,11 @@ class Roll:
 
     def __init__(self, spark, rows):
         self.rows = [(k, n, t, money(total), money(sel)) for k, n, t, total, sel in rows]
-        self.silver = spark.createDataFrame(self.rows, SILVER)
         self.table = pa.Table.from_pylist(
             [dict(zip(ARROW.names, row)) for row in self.rows], schema=ARROW)
+        path = f"{tempfile.mkdtemp(prefix='roll-')}/roll.parquet"
+        pq.write_table(self.table, path)
+        self.silver = spark.read.schema(SILVER).parquet(path)
 
     def expected(self, sql):
         con = duckdb.connect()
