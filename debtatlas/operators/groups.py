@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from debtatlas.functions.documents import (
     COMPANY_DIGITS, company_root, digits, is_headquarters)
 from debtatlas.functions.money import WIDE_MONEY, mean, percent_of, ratio_percent
+from debtatlas.operators.repeated import BROADCAST_BYTES, repeated_keys
 
 SELECTED = "valor_divida_selecionada"
 
@@ -15,23 +16,29 @@ SELECTED = "valor_divida_selecionada"
 def _companies(silver: DataFrame) -> DataFrame:
     return (silver
             .withColumn("digitos", digits(F.col("cpf_cnpj")))
-            .filter(F.length("digitos") == COMPANY_DIGITS))
+            .filter(F.length("digitos") == COMPANY_DIGITS)
+            .withColumn("cnpj_raiz", company_root(F.col("digitos"))))
 
 
-def corporate_groups(silver: DataFrame) -> DataFrame:
-    """Groups with more than one record, largest selected debt first."""
+def corporate_groups(silver: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Groups with more than one record, largest selected debt first.
+
+    Most companies stand alone, so roots are counted first and only records of
+    repeated roots carry their names and amounts into the shuffle.
+    """
+    companies = _companies(silver)
+    roots = repeated_keys(companies, "cnpj_raiz", broadcast_bytes)
     headquarters = is_headquarters(F.col("digitos"))
-    groups = (_companies(silver)
-              .groupBy(company_root(F.col("digitos")).alias("cnpj_raiz"))
-              .agg(F.max("nome_devedor").alias("razao_social_referencia"),
-                   F.count(F.lit(1)).alias("total_estabelecimentos"),
-                   F.count_if(headquarters).alias("qtd_matrizes_inscritas"),
-                   F.count_if(~headquarters).alias("qtd_filiais_inscritas"),
-                   F.sum(SELECTED).cast(WIDE_MONEY).alias("montante_fgts_grupo"),
-                   F.sum("valor_total").cast(WIDE_MONEY).alias("montante_uniao_grupo"),
-                   F.count(SELECTED).alias("com_valor"))
-              .filter(F.col("total_estabelecimentos") > 1))
-    return (groups
+    return ((roots.repeated(companies) if roots.few else companies)
+            .groupBy("cnpj_raiz")
+            .agg(F.max("nome_devedor").alias("razao_social_referencia"),
+                 F.count(F.lit(1)).alias("total_estabelecimentos"),
+                 F.count_if(headquarters).alias("qtd_matrizes_inscritas"),
+                 F.count_if(~headquarters).alias("qtd_filiais_inscritas"),
+                 F.sum(SELECTED).cast(WIDE_MONEY).alias("montante_fgts_grupo"),
+                 F.sum("valor_total").cast(WIDE_MONEY).alias("montante_uniao_grupo"),
+                 F.count(SELECTED).alias("com_valor"))
+            .filter(F.col("total_estabelecimentos") > 1)
             .withColumn("ticket_medio_por_unidade",
                         mean(F.col("montante_fgts_grupo"), F.col("com_valor")))
             .drop("com_valor")
@@ -67,7 +74,7 @@ def group_share(silver: DataFrame) -> DataFrame:
 def multi_unit_share(silver: DataFrame) -> DataFrame:
     """Share of company records that belong to a group: one row."""
     roots = (_companies(silver)
-             .groupBy(company_root(F.col("digitos")).alias("cnpj_raiz"))
+             .groupBy("cnpj_raiz")
              .agg(F.count(F.lit(1)).alias("n")))
     grouped = F.col("n") > 1
     return (roots

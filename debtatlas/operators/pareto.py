@@ -78,54 +78,44 @@ def pareto_rows(silver: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
 
 # --- tiers --------------------------------------------------------------------------
 
-def _copies_within(limit: float) -> Column:
+def _copies_within(limit: float) -> str:
     """How many of the ``n`` equal amounts keep the running share at or below ``limit``.
 
-    The share moves one way along equal amounts, so only a value whose first and
+    The share moves one way along equal amounts, so only an amount whose first and
     last copy disagree is searched, by halving.
     """
-    def inside(j: Column) -> Column:
-        running = F.col("soma_antes") + j * F.coalesce(F.col("valor"), F.lit(0))
-        return F.coalesce(ratio(running, F.col("total")) <= F.lit(limit), F.lit(False))
-
-    n = F.col("n")
-    at_first, at_last = inside(F.lit(1)), inside(n)
-
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.shiftright(span["lo"] + span["hi"], 1)
-        like_first = inside(middle) == at_first
-        return F.struct(F.when(like_first, middle).otherwise(span["lo"]).alias("lo"),
-                        F.when(like_first, span["hi"]).otherwise(middle).alias("hi"))
-
-    start = F.struct(F.lit(1).cast("long").alias("lo"), n.alias("hi"))
-    alike = F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, halve)["lo"]
-    return (F.when(at_first & at_last, n)
-            .when(~at_first & ~at_last, F.lit(0))
-            .when(at_first, alike)
-            .otherwise(n - alike)
-            .cast("long"))
+    def inside(j: str) -> str:
+        running = f"cast(soma_antes + {j} * coalesce(valor, 0) AS double)"
+        return f"coalesce(try_divide({running}, cast(total AS double)) <= {limit}D, false)"
+
+    middle = "shiftright(span.lo + span.hi, 1)"
+    like_first = f"""aggregate(
+        sequence(1, 63), struct(1L AS lo, n AS hi),
+        (span, _) -> if({inside(middle)} = {inside('1')},
+                        struct({middle} AS lo, span.hi AS hi),
+                        struct(span.lo AS lo, {middle} AS hi)),
+        span -> span.lo)"""
+    return f"""CASE WHEN {inside('1')} AND {inside('n')} THEN n
+                    WHEN NOT {inside('1')} AND NOT {inside('n')} THEN 0L
+                    WHEN {inside('1')} THEN {like_first}
+                    ELSE n - {like_first} END"""
 
 
 def _split_by_tier(standing: DataFrame) -> DataFrame:
     """Divide the copies of each amount among the tiers."""
-    limits = [limit for limit, _ in TIERS]
+    limits = [f"{_copies_within(limit)} AS ate_{i}" for i, (limit, _) in enumerate(TIERS)]
     labels = [name for _, name in TIERS] + [TAIL]
-    counted = standing.select("*", *[_copies_within(limit).alias(f"ate_{i}")
-                                     for i, limit in enumerate(limits)])
-    bounds = [F.lit(0).cast("long"), *[F.col(f"ate_{i}") for i in range(len(limits))],
-              F.col("n")]
+    bounds = ["0L", *[f"ate_{i}" for i in range(len(TIERS))], "n"]
     # Shares fall along equal amounts when amount and total differ in sign; the
     # copies of the lowest tier then come last.
-    falling = F.coalesce((F.col("valor") < 0) != (F.col("total") < 0), F.lit(False))
-    pieces = [F.struct(F.lit(label).alias("faixa_pareto"),
-                       (high - low).alias("n"),
-                       (F.col("n_antes") + F.when(falling, F.col("n") - high).otherwise(low))
-                       .alias("antes"))
+    falling = "coalesce((valor < 0) != (total < 0), false)"
+    pieces = [f"""('{label}', {high} - {low}, n_antes + if({falling}, n - {high}, {low}))"""
               for label, low, high in zip(labels, bounds, bounds[1:])]
-    return (counted
-            .select("cell", "valor", F.explode(F.array(*pieces)).alias("p"))
-            .select("p.faixa_pareto", "cell", "valor", "p.n", "p.antes")
-            .filter(F.col("n") > 0))
+    return (standing
+            .selectExpr("*", *limits)
+            .selectExpr("cell", "valor", f"inline(array({', '.join(pieces)}))")
+            .toDF("cell", "valor", "faixa_pareto", "n", "antes")
+            .filter("n > 0"))
 
 
 def pareto_summary(silver: DataFrame) -> DataFrame:

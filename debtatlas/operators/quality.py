@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from debtatlas.operators.ranking import TASK_ROWS, match_keys, position_within
-from debtatlas.session import settle
+from debtatlas.operators.ranking import TASK_ROWS, position_within
+from debtatlas.operators.repeated import BROADCAST_BYTES, repeated_keys
 
 KEY = "cpf_cnpj"
 COLUMNS = ("cpf_cnpj", "nome_devedor", "nome_fantasia", "valor_total",
            "valor_divida_selecionada")
-# Duplicated keys are broadcast while their text stays below this size.
-BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def impact_order() -> list[Column]:
@@ -25,29 +23,34 @@ def key_audit(silver: DataFrame, task_rows: int = TASK_ROWS,
               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every record after the first of its document, largest first; empty for a clean key.
 
-    Keys are counted alone, then only the records of duplicated keys are sorted,
-    when the list of those keys is small enough to send to every task.
+    Only records of repeated documents are sorted, unless those are too many to list.
     """
     rows = silver.select(*COLUMNS)
-    duplicated = settle(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-                        .filter(F.col("n") > 1))
-    text = duplicated.agg(F.sum(F.coalesce(F.octet_length(KEY), F.lit(0)) + 32)).first()[0]
-    if (text or 0) <= broadcast_bytes:
-        rows = match_keys(rows, F.broadcast(duplicated.select(KEY)), [KEY], "left_semi")
-    return (position_within(rows, [KEY], impact_order(), duplicated, task_rows)
+    keys = repeated_keys(rows, KEY, broadcast_bytes)
+    candidates = keys.repeated(rows) if keys.few else rows
+    return (position_within(candidates, [KEY], impact_order(), keys.counts, task_rows)
             .filter(F.col("position") > 1)
             .withColumnRenamed("position", "indice_duplicidade")
             .orderBy(F.desc_nulls_last("valor_divida_selecionada"), KEY, "indice_duplicidade"))
 
 
-def dedupe(silver: DataFrame) -> DataFrame:
+def dedupe(silver: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One record per document, the one of highest impact.
 
-    Spark limits each group before the shuffle, so a document with many records
-    sends one per task.
+    Records of documents that occur once stay where they are. Among the others Spark
+    limits each group before the shuffle, so a document with many records sends one
+    per task.
     """
-    first = Window.partitionBy(KEY).orderBy(*impact_order())
-    return (silver.select(*COLUMNS)
-            .withColumn("position", F.row_number().over(first))
-            .filter(F.col("position") == 1)
-            .drop("position"))
+    rows = silver.select(*COLUMNS)
+    keys = repeated_keys(rows, KEY, broadcast_bytes)
+
+    def first_of(candidates: DataFrame) -> DataFrame:
+        best = Window.partitionBy(KEY).orderBy(*impact_order())
+        return (candidates
+                .withColumn("position", F.row_number().over(best))
+                .filter(F.col("position") == 1)
+                .drop("position"))
+
+    if not keys.few:
+        return first_of(rows)
+    return keys.single(rows).unionByName(first_of(keys.repeated(rows)))

@@ -1,0 +1,40 @@
+"""Keys that occur more than once. On a sound roll they are few, and knowing them
+first spares all other rows the shuffle."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from debtatlas.operators.ranking import match_keys
+from debtatlas.session import settle
+
+# The list of repeated keys is sent to every task while its text stays below this size.
+BROADCAST_BYTES = 8 * 1024 * 1024
+BYTES_PER_ROW = 32
+
+
+@dataclass(frozen=True)
+class RepeatedKeys:
+    key: str
+    counts: DataFrame  # the key and its number of rows ``n``
+    few: bool
+
+    def _split(self, rows: DataFrame, how: str) -> DataFrame:
+        return match_keys(rows, F.broadcast(self.counts.select(self.key)), [self.key], how)
+
+    def repeated(self, rows: DataFrame) -> DataFrame:
+        return self._split(rows, "left_semi")
+
+    def single(self, rows: DataFrame) -> DataFrame:
+        return self._split(rows, "left_anti")
+
+
+def repeated_keys(rows: DataFrame, key: str,
+                  broadcast_bytes: int = BROADCAST_BYTES) -> RepeatedKeys:
+    """Count keys, of which only text and partial counts are shuffled."""
+    counts = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    size = F.sum(F.coalesce(F.octet_length(key), F.lit(0)) + BYTES_PER_ROW)
+    return RepeatedKeys(key, counts, (counts.agg(size).first()[0] or 0) <= broadcast_bytes)

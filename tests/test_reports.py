@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from conftest import REPORT_SQL
-from debtatlas.operators import pareto, quality
+from debtatlas.operators import groups, pareto, quality
 from debtatlas.plans.reports import REPORTS
 
 COMPANY = "{:02d}.000.00{}/000{}-00"
@@ -74,8 +74,10 @@ def test_oversized_groups_rank_alike(roll, task_rows):
     roll.check("key_audit", quality.key_audit(roll.silver, task_rows))
 
 
-def test_key_audit_without_broadcast(roll):
+def test_many_repeated_keys(roll):
     roll.check("key_audit", quality.key_audit(roll.silver, broadcast_bytes=-1))
+    roll.check("dedupe", quality.dedupe(roll.silver, broadcast_bytes=-1))
+    roll.check("corporate_groups", groups.corporate_groups(roll.silver, broadcast_bytes=-1))
 
 
 def test_median_is_exact_beyond_double_precision(make_roll):
