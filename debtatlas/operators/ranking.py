@@ -50,8 +50,9 @@ def position_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
     large_rows = oversized.agg(F.sum("n").alias("n")).first().n
     keys = F.broadcast(oversized.select(*by))
     regular = match_keys(rows, keys, by, "left_anti").withColumn("position", numbered)
-    sliced = _sliced_positions(match_keys(rows, keys, by, "left_semi"), by, order,
-                               max(2, ceil(large_rows / task_rows)))
+    slices = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                 ceil(large_rows / task_rows))
+    sliced = _sliced_positions(match_keys(rows, keys, by, "left_semi"), by, order, slices)
     return regular.unionByName(sliced)
 
 
