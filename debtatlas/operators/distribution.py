@@ -75,16 +75,16 @@ def amounts_in(rows: DataFrame, value: str, cells: DataFrame, on: Sequence[str])
 
 def middle_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Where the two middle amounts of each group lie: ``cell``, which of the two, and
-    its place among the cell's amounts in ascending order."""
+    its place among the cell's amounts in ascending order. ``cells`` is unique per
+    group and cell."""
     by = list(by)
     group = Window.partitionBy(*by)
     return (cells
             .filter(F.col("com_valor") > 0)
-            .groupBy(*by, "cell").agg(F.sum("com_valor").alias("n"))
-            .select(*by, "cell", "n",
-                    F.sum("n").over(group.orderBy("cell")).alias("ate"),
-                    F.sum("n").over(group).alias("m"))
-            .select(*by, "cell", (F.col("ate") - F.col("n")).alias("antes"), "ate",
+            .select(*by, "cell", "com_valor",
+                    F.sum("com_valor").over(group.orderBy("cell")).alias("ate"),
+                    F.sum("com_valor").over(group).alias("m"))
+            .select(*by, "cell", (F.col("ate") - F.col("com_valor")).alias("antes"), "ate",
                     F.posexplode(F.array(F.expr("(m + 1) div 2"), F.expr("m div 2 + 1")))
                     .alias("meio", "lugar"))
             .filter(F.expr("antes < lugar and lugar <= ate"))

@@ -146,7 +146,9 @@ def pareto_summary(silver: DataFrame) -> DataFrame:
                     .withColumn("ate", F.col("antes") + F.col("n")))
 
     # A whole cell is in one tier, so its rows are found by cell alone.
-    middles = middle_cells(pieces, ["faixa_pareto"])
+    middles = middle_cells(
+        pieces.groupBy("faixa_pareto", "cell").agg(F.sum("com_valor").alias("com_valor")),
+        ["faixa_pareto"])
     in_whole = amounts_in(
         rows, SELECTED,
         middles.join(F.broadcast(pieces.filter(F.col("valor").isNull()).select("cell")),
