@@ -49,15 +49,6 @@ def cell_totals(rows: DataFrame, value: str, by: Sequence[str] = (),
                  *extra))
 
 
-def amounts(rows: DataFrame, value: str) -> DataFrame:
-    """Every distinct amount as ``valor`` with its row count ``n``, sum and cell."""
-    return (rows
-            .groupBy(F.col(value).alias("valor"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(cell_of(F.col("valor")).alias("cell"), "valor", "n",
-                    (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
-
-
 def amounts_in(rows: DataFrame, value: str, cells: DataFrame, on: Sequence[str]) -> DataFrame:
     """Distinct amounts of the rows that fall in ``cells``, with all columns of ``cells``.
 
@@ -115,37 +106,48 @@ def exact_median(rows: DataFrame, value: str, cells: DataFrame,
 
 
 # --- standings ----------------------------------------------------------------------------
+#
+# All rows are thought of as sorted largest first, NULL last. The standing of a part of
+# that order, or of an amount, is what lies before it: ``n_antes`` rows worth ``soma_antes``.
+
+def sliced_amounts(rows: DataFrame, value: str) -> DataFrame:
+    """Every distinct amount once, as ``valor`` with its row count ``n`` and sum, in
+    consecutive slices of similar length. Settle it before use: Spark draws the borders
+    from a sample."""
+    return (rows
+            .groupBy(F.col(value).alias("valor"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .repartitionByRange(F.desc_nulls_last("valor"))
+            .select(F.spark_partition_id().alias("slice"), "valor", "n",
+                    (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
+
 
-def _larger(column: str, window) -> Column:
+def _before(column: str, window) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
-def cell_standing(cells: DataFrame) -> DataFrame:
-    """Add the row count and sum of all larger cells, and the sum of everything."""
-    larger = (Window.orderBy(F.desc("cell"))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return cells.select(
+def part_standing(totals: DataFrame, order: Column) -> DataFrame:
+    """Add the standing of each part and the sum of everything. One task suffices: there
+    is a row per cell or per slice."""
+    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
         "*",
-        _larger("n", larger).cast("long").alias("n_antes"),
-        _larger("soma", larger).cast(WIDE_MONEY).alias("soma_antes"),
+        _before("n", earlier).cast("long").alias("n_antes"),
+        _before("soma", earlier).cast(WIDE_MONEY).alias("soma_antes"),
         F.sum("soma").over(Window.partitionBy()).cast(WIDE_MONEY).alias("total"))
 
 
-def amount_standing(dist: DataFrame, standing: DataFrame) -> DataFrame:
-    """Refine the standing of cells to their amounts.
-
-    All rows are thought of as sorted largest first, NULL last; ``n_antes`` and
-    ``soma_antes`` are the row count and sum of strictly larger amounts. ``dist`` has
-    the amounts of the cells of interest, and each cell is put in order on its own.
-    """
-    larger = (Window.partitionBy("cell").orderBy(F.desc("valor"))
+def amount_standing(amounts: DataFrame, parts: DataFrame, part: str) -> DataFrame:
+    """Add the standing of each amount and the sum of everything, given the standing of
+    the parts. Each part is put in order on its own."""
+    larger = (Window.partitionBy(part).orderBy(F.desc("valor"))
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = standing.select("cell", F.col("n_antes").alias("n_celulas"),
-                              F.col("soma_antes").alias("soma_celulas"), "total")
-    return (dist
-            .join(F.broadcast(offsets), "cell")
-            .select("cell", "valor", "n", "soma",
-                    (F.col("n_celulas") + _larger("n", larger)).alias("n_antes"),
-                    (F.col("soma_celulas") + _larger("soma", larger)).cast(WIDE_MONEY)
+    offsets = parts.select(part, F.col("n_antes").alias("n_partes"),
+                           F.col("soma_antes").alias("soma_partes"), "total")
+    return (amounts
+            .join(F.broadcast(offsets), part)
+            .select(part, "valor", "n", "soma",
+                    (F.col("n_partes") + _before("n", larger)).alias("n_antes"),
+                    (F.col("soma_partes") + _before("soma", larger)).cast(WIDE_MONEY)
                     .alias("soma_antes"),
                     "total"))

@@ -1,8 +1,8 @@
 """Concentration of the selected debt: ranking, running totals and tiers.
 
-Ranks and running totals follow from the value distribution, whose prefix sums are
-spread over cells; no step sorts the whole roll in one task. Within one amount the
-order is by document, then name, and the j-th record adds j times the amount.
+Ranks and running totals follow from how often each amount occurs and what lies before
+it, so no step sorts the whole roll in one task. Within one amount the order is by
+document, then name, and the j-th record adds j times the amount.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from debtatlas.functions.money import (
     MONEY, WIDE_MONEY, percent_of, ratio, ratio_percent)
 from debtatlas.operators.distribution import (
-    amount_standing, amounts, amounts_in, cell_standing, cell_totals, median_of, middle_cells)
+    amount_standing, amounts_in, cell_totals, median_of, middle_cells, part_standing,
+    sliced_amounts)
 from debtatlas.operators.ranking import TASK_ROWS, position_within
 from debtatlas.operators.segments import summarise
 from debtatlas.session import settle
@@ -45,26 +46,24 @@ def _cents(value: Column) -> Column:
     return F.coalesce((value * 100).cast("long"), F.lit(-2 ** 63))
 
 
-def _cells_of(dist: DataFrame) -> DataFrame:
-    return dist.groupBy("cell").agg(F.sum("n").alias("n"),
-                                    F.sum("soma").cast(WIDE_MONEY).alias("soma"))
-
-
 def pareto_rows(silver: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Each record with its rank, running total, share and tier."""
     rows = silver.select("cpf_cnpj", "nome_devedor", SELECTED,
                          _cents(F.col(SELECTED)).alias("centavos"))
-    dist = settle(amounts(silver, SELECTED))
+    dist = settle(sliced_amounts(silver, SELECTED))
+    slices = part_standing(
+        dist.groupBy("slice").agg(F.sum("n").alias("n"),
+                                  F.sum("soma").cast(WIDE_MONEY).alias("soma")),
+        F.col("slice"))
+    standing = (amount_standing(dist, slices, "slice")
+                .withColumn("centavos", _cents(F.col("valor")))
+                .select("centavos", "n_antes", "soma_antes", "total"))
     placed = position_within(
         rows, ["centavos"],
         [F.asc_nulls_last("cpf_cnpj"), F.asc_nulls_last("nome_devedor")],
-        dist.select(_cents(F.col("valor")).alias("centavos"), "n"), task_rows)
-    standing = (amount_standing(dist, cell_standing(_cells_of(dist)))
-                .withColumn("centavos", _cents(F.col("valor")))
-                .select("centavos", "n_antes", "soma_antes", "total"))
+        dist.select(_cents(F.col("valor")).alias("centavos"), "n"), task_rows, standing)
     running = F.col("soma_antes") + F.col("position") * F.coalesce(F.col(SELECTED), F.lit(0))
     return (placed
-            .join(standing, "centavos")
             .withColumn("soma_acumulada_fgts",
                         F.when(F.col("total").isNotNull(), running).cast(WIDE_MONEY))
             .select("cpf_cnpj", "nome_devedor", SELECTED,
@@ -126,7 +125,7 @@ def pareto_summary(silver: DataFrame) -> DataFrame:
     cuts are looked into, and after that the cells that hold a median.
     """
     rows = silver.select(SELECTED)
-    standing = settle(cell_standing(cell_totals(rows, SELECTED)))
+    standing = settle(part_standing(cell_totals(rows, SELECTED), F.desc("cell")))
     at_top = F.col("soma_antes") + F.coalesce(F.col("maior"), F.lit(0))
     at_end = F.col("soma_antes") + F.coalesce(F.col("soma"), F.lit(0))
     tier = _tier(at_end, F.col("total"))
@@ -137,7 +136,7 @@ def pareto_summary(silver: DataFrame) -> DataFrame:
     amounts_cut = (amounts_in(rows, SELECTED, standing.filter(cut).select("cell"), ["cell"])
                    .select("cell", "valor", F.col("n_valor").alias("n"),
                            (F.col("n_valor") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
-    split = _split_by_tier(amount_standing(amounts_cut, standing)).select(
+    split = _split_by_tier(amount_standing(amounts_cut, standing, "cell")).select(
         "*", F.col("n").alias("com_valor"),
         (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma"))
     pieces = settle(whole.unionByName(split)

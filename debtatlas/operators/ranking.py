@@ -34,26 +34,34 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
 
 
 def position_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
-                    sizes: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+                    sizes: DataFrame, task_rows: int = TASK_ROWS,
+                    attach: DataFrame | None = None) -> DataFrame:
     """Add ``position``: 1, 2, ... per group of ``by`` in ``order``.
 
     ``sizes`` is a settled frame with the row count ``n`` of each group that may be
-    large. ``by`` and ``order`` together tell any two different rows apart.
+    large. ``by`` and ``order`` together tell any two different rows apart. ``attach``
+    has one row of further columns per group, whose keys are not NULL then; it meets
+    the rows where they already are, and its oversized groups are broadcast.
     """
+    def attached(frame: DataFrame, columns: DataFrame | None) -> DataFrame:
+        return frame if columns is None else frame.join(columns, list(by))
+
     stats = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     bar = max(task_rows, ceil((stats.total or 0) / MAX_OVERSIZED))
     numbered = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
     if (stats.largest or 0) <= bar:
-        return rows.withColumn("position", numbered)
+        return attached(rows.withColumn("position", numbered), attach)
 
     oversized = sizes.filter(F.col("n") > bar)
     large_rows = oversized.agg(F.sum("n").alias("n")).first().n
-    keys = F.broadcast(oversized.select(*by))
-    regular = match_keys(rows, keys, by, "left_anti").withColumn("position", numbered)
     slices = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                  ceil(large_rows / task_rows))
+    keys = F.broadcast(oversized.select(*by))
+    regular = match_keys(rows, keys, by, "left_anti").withColumn("position", numbered)
     sliced = _sliced_positions(match_keys(rows, keys, by, "left_semi"), by, order, slices)
-    return regular.unionByName(sliced)
+    of_oversized = None if attach is None else F.broadcast(
+        match_keys(attach, keys, by, "left_semi"))
+    return attached(regular, attach).unionByName(attached(sliced, of_oversized))
 
 
 def _sliced_positions(rows: DataFrame, by: Sequence[str], order: Sequence[Column],

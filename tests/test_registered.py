@@ -1,5 +1,7 @@
 """Every registered query against its statement, and the shape of the plans."""
 
+import contextlib
+import io
 import re
 
 import pytest
@@ -37,7 +39,10 @@ def test_pinned_counts(spark, name, column, want):
 
 
 def plan_of(df):
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain()
+    return shown.getvalue()
 
 
 @pytest.mark.parametrize("name", list(REPORTS))
@@ -50,12 +55,12 @@ def test_plans_stay_on_the_jvm_and_off_cross_joins(spark, name):
 
 @pytest.mark.parametrize("name", ["pareto_rows", "key_audit", "dedupe"])
 def test_rows_never_meet_in_one_partition(spark, name):
-    """Single partitions may only gather totals per cell, never rows with documents."""
+    """Single partitions may only gather totals per slice, never rows with documents."""
     plan = plan_of(REPORTS[name](line_roll(spark, SMALL)))
     lines = plan.splitlines()
     for number, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
-            assert re.search(r"HashAggregate\(keys=\[cell", lines[number + 1]), plan
+            assert re.search(r"HashAggregate\(keys=\[slice", lines[number + 1]), plan
 
 
 def test_scans_read_only_the_needed_columns(spark):

@@ -123,3 +123,16 @@ def test_published_identities(make_roll):
     for group in REPORTS["corporate_groups"](silver).collect():
         assert (group.qtd_matrizes_inscritas + group.qtd_filiais_inscritas
                 == group.total_estabelecimentos)
+
+
+def test_ranks_without_broadcasts(spark, make_roll):
+    """Rows and standings meet in a shuffle when the standings are too many to broadcast."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("random_signed", "ties_over_limits"):
+            roll = make_roll(ROLLS[name])
+            for task_rows in (3, 1000):
+                roll.check("pareto_rows", pareto.pareto_rows(roll.silver, task_rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
