@@ -80,11 +80,14 @@ def _sliced_positions(rows: DataFrame, by: Sequence[str], order: Sequence[Column
     placed = (match_keys(sliced, F.broadcast(ahead), [*by, "slice"], "inner")
               .withColumn("ahead",
                           F.col("ahead") + F.coalesce(F.sum("copies").over(here), F.lit(0))))
-    # Unfold in two steps with a shuffle between, so many copies spread over tasks.
-    blocks = (placed
-              .withColumn("block", F.explode(F.sequence(
-                  F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES_PER_BLOCK}"))))
-              .repartition(slices, *by, "ahead", "block"))
+    if sliced.agg(F.max("copies")).first()[0] <= COPIES_PER_BLOCK:
+        blocks = placed.withColumn("block", F.lit(0).cast("long"))
+    else:
+        # Blocks of copies are spread over tasks before they are unfolded.
+        blocks = (placed
+                  .withColumn("block", F.explode(F.sequence(
+                      F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES_PER_BLOCK}"))))
+                  .repartition(slices, *by, "ahead", "block"))
     first = F.col("block") * COPIES_PER_BLOCK
     last = F.least(F.col("copies"), first + COPIES_PER_BLOCK) - 1
     return (blocks
