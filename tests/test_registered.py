@@ -15,10 +15,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_a_statement():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(registered.library_queries()) == set(registered.library_sql())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", list(registered.library_queries()))
 def test_query(spark, name):
     assert difference(spark, name, SMALL) is None
 
