@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, substring
+from . import minhash, packing, substring, warc
 from .common import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,8 @@ def _ready(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = [minhash.op4_minhash_near_dedup, substring.op6_substring_dedup, packing.op9_packing]
+    found = [minhash.op4_minhash_near_dedup, substring.op6_substring_dedup, warc.op7_warc,
+             packing.op9_packing]
     return {query.__name__: _ready(query) for query in found}
 
 
