@@ -89,18 +89,18 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     come after all others. A text may become empty. An empty table gives no rows.
     """
     gone = repeated_lines(docs, id_column, text_column).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
+        F.col("doc_id").alias("__dedup_id"), F.col("text_key").alias("__dedup_key"), F.col("gone").alias("__dedup_gone"))
     text = F.col(text_column).cast("string")
-    joined = docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_id"))
-                       & (F.xxhash64(text) == F.col("_key")), "left")
-    cut = joined.withColumn("_lines", F.split(text, "\n"))
+    joined = docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("__dedup_id"))
+                       & (F.xxhash64(text) == F.col("__dedup_key")), "left")
+    cut = joined.withColumn("__dedup_lines", F.split(text, "\n"))
     rest = F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"),
-        lambda i: F.get("_lines", i)), "\n")
-    return (cut.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-            .withColumn("n_removed_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-            .withColumn(text_column, F.when(F.col("_gone").isNull(), text).otherwise(rest))
-            .drop("_id", "_key", "_gone", "_lines"))
+        F.array_except(F.sequence(F.lit(0), F.size("__dedup_lines") - 1), "__dedup_gone"),
+        lambda i: F.get("__dedup_lines", i)), "\n")
+    return (cut.withColumn("n_lines", F.coalesce(F.size("__dedup_lines"), F.lit(0)).cast("long"))
+            .withColumn("n_removed_lines", F.coalesce(F.size("__dedup_gone"), F.lit(0)).cast("long"))
+            .withColumn(text_column, F.when(F.col("__dedup_gone").isNull(), text).otherwise(rest))
+            .drop("__dedup_id", "__dedup_key", "__dedup_gone", "__dedup_lines"))
 
 
 def op5_line_dedup(spark, folder: str) -> DataFrame:
