@@ -7,7 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, substring, warc
+from . import (decontaminate, html_extract, line_dedup, minhash, packing, quality_rules, sharding,
+               substring, url_filter, warc)
 from .common import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +23,12 @@ def _ready(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = [minhash.op4_minhash_near_dedup, substring.op6_substring_dedup, warc.op7_warc,
-             packing.op9_packing]
+    found = [sharding.op1_sharding, url_filter.op2_url_filter, quality_rules.op3_quality_rules,
+             minhash.op4_minhash_near_dedup, line_dedup.op5_line_dedup,
+             substring.op6_substring_dedup, warc.op7_warc, decontaminate.op8_decontamination,
+             packing.op9_packing, html_extract.op10_html_extraction]
     return {query.__name__: _ready(query) for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": sharding.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL}
