@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is tied once, to one that is not tied itself."""
+    tied = edges.groupBy("a").agg(F.count("*").alias("ties"))
+    ends = edges.select(F.col("b").alias("end")).distinct()
+    return tied.join(ends, tied.a == ends.end, "left").where("ties > 1 or end is not null").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,9 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     left, right = edges.columns
     now = settle(edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
                  .where("a > b").distinct())
-    before, mark = None, _mark(now)
-    while mark != before:
+    while not _are_stars(now):
         now = settle(_small_star(settle(_large_star(now))))
-        before, mark = mark, _mark(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

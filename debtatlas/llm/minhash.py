@@ -4,11 +4,13 @@ Signature: one hash throws a document's shingles into ``BANDS * ROWS`` bins, eac
 keeps its least value, and empty bins copy a filled one picked by their own probe
 sequence (optimal densification). Buckets: ``ROWS`` bins make a band, equal bands meet.
 Edges: the least member of a bucket is its centre, and only (centre, member) pairs are
-compared, on full shingle sets. Members that are unlike their centre are dealt again by
-``SHARPER`` bands, at last around a new centre in the same bucket until none is left: links
-between them are found, and the pairs of a bucket are never listed. Documents with equal
-sets are one class before all this. The chance that a pair at similarity 0.85 shares no
-bucket is (1 - 0.85**5)**24 = 8e-7, and 2e-7 and 6e-6 among members dealt again.
+compared, on full shingle sets. A bucket whose members these links do not bring into one
+component is dealt again, all of it, by ``SHARPER`` bands, where pairs that are unlike
+hardly meet and like ones meet without the old centre; what is unlike its centre even there
+meets around new centres until none is left. So links aside of a centre are found, and the
+pairs of a bucket are never listed. Documents with equal sets are one class before all
+this. The chance that a pair at similarity 0.85 shares no bucket is (1 - 0.85**5)**24 = 8e-7,
+and 7e-6 among those dealt again.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from .common import settle, table
 from .components import components
 
 BANDS, ROWS = 24, 5
-#: (rows, bands) by which members that are unlike their centre are dealt again.
-SHARPER = ((12, 100), (20, 300))
+#: (rows, bands) by which buckets that are not one component yet are dealt again.
+SHARPER = (20, 300)
+#: Centres of a bucket that is still open after that; its members are compared with each.
+TAIL_CENTRES = 16
 _VALUE_BITS = 40
 _SEED, _PROBES, _BAND = words.numbered(3, 41)
 
@@ -163,52 +167,77 @@ def _resign(rows: int, bands: int):
                                             at[low:high + 1] - at[low], rows * bands), rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(name)).slice(low, high - low)
-                     for name in ("member", "n")] + [_lists(keys.view(np.int64))],
-                    ["member", "n", "bands"])
+                     for name in ("member", "component")] + [_lists(keys.view(np.int64))],
+                    ["member", "component", "bands"])
     return run
 
 
-def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Verified (centre, member) edges between class representatives."""
-    sized = reps.select(F.col("member").alias("centre"), F.col("n").alias("m"))
+def _around(rows: DataFrame, centres_per_bucket: int) -> DataFrame:
+    """(bucket, centre, member) with the least members of a bucket as its centres.
 
-    def around(rows: DataFrame) -> DataFrame:
-        centres = settle(rows.groupBy("bucket").agg(F.min("member").alias("centre"),
-                                                    F.count("*").alias("size"))
-                         .where("size > 1").drop("size"))
-        return settle(rows.join(centres, "bucket").where("member != centre")
-                      .select("bucket", "centre", "member", "n"))
+    Buckets of one member, or whose members are in one component already, are left out.
+    """
+    share = F.pmod(F.xxhash64("member"), F.lit(centres_per_bucket))
+    open_buckets = settle(rows.groupBy("bucket").agg(
+        (F.min("component") != F.max("component")).alias("open")).where("open").select("bucket"))
+    centres = settle(rows.join(open_buckets, "bucket", "left_semi")
+                     .groupBy("bucket", share.alias("share")).agg(F.min("member").alias("centre"))
+                     .select("bucket", "centre"))
+    return settle(rows.join(centres, "bucket").where("member != centre")
+                  .select("bucket", "centre", "member"))
+
+
+def _components(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the class representatives that have a verified link."""
+    sizes = reps.select("member", "n")
+
+    def judge(meeting: DataFrame) -> DataFrame:
+        pairs = (meeting.select(F.least("centre", "member").alias("centre"),
+                                F.greatest("centre", "member").alias("member")).distinct()
+                 .join(sizes, "member")
+                 .join(sizes.toDF("centre", "m"), "centre")
+                 .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+                 .select("centre", "member"))
+        return settle(
+            pairs.join(sets.toDF("member", "sets"), "member")
+            .join(sets.toDF("centre", "centre_sets"), "centre")
+            .mapInArrow(_alike(percent), "centre long, member long, linked boolean")
+            .where("linked").select("centre", "member"))
+
+    def named(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """With the component that the links found so far put each member in."""
+        return settle(rows.join(nodes.withColumnRenamed("node", "member"), "member", "left")
+                      .withColumn("component", F.coalesce("component", "member")))
 
     # smaller sets are linked with equal ones only: one more shingle already is too many
-    meeting = around(reps.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select(
-        "member", "n", F.explode("bands").alias("bucket")))
+    rows = reps.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select(
+        "member", F.explode("bands").alias("bucket")).withColumn("component", F.col("member"))
+    meeting = _around(rows, 1)
     wanted = meeting.select("member").union(meeting.select("centre")).distinct()
     sets = settle(docs.join(wanted, docs.id == wanted.member, "left_semi")
-                  .mapInArrow(_sets(shingle), "id long, sets binary"))
-    found = []
-    levels = list(SHARPER)
+                  .dropDuplicates(["id"]).mapInArrow(_sets(shingle), "id long, sets binary"))
+    found = [judge(meeting)]
+    nodes = components(found[0])
+    # all members of a bucket that is not one component yet, linked to its centre or not
+    rows = named(meeting.select("bucket", "member").union(
+        meeting.select("bucket", F.col("centre").alias("member")).distinct()), nodes)
+    unsure = settle(rows.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open"))
+                    .where("open").select("bucket"))
+    dealt = settle(rows.join(unsure, "bucket", "left_semi").select("member", "component").distinct()
+                   .join(sets.toDF("member", "sets"), "member")
+                   .mapInArrow(_resign(*SHARPER), "member long, component long, bands array<long>")
+                   .select("member", "component", F.explode("bands").alias("bucket")))
+    meeting = _around(dealt, 1)
     while not meeting.isEmpty():
-        pairs = (meeting.select("centre", "member", "n").distinct().join(sized, "centre")
-                 .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-                 .select("centre", "member"))
-        judged = settle(
-            pairs.join(sets.select(F.col("id").alias("member"), "sets"), "member")
-            .join(sets.select(F.col("id").alias("centre"), F.col("sets").alias("centre_sets")), "centre")
-            .mapInArrow(_alike(percent), "centre long, member long, linked boolean")
-            .where("linked").select("centre", "member"))
-        found.append(judged)
-        left = settle(meeting.join(judged, ["centre", "member"], "left_anti")
-                      .select("bucket", "member", "n"))
-        if levels:
-            rows, bands = levels.pop(0)
-            again = left.join(left.groupBy("bucket").count().where("count > 1"), "bucket", "left_semi")
-            left = settle(
-                again.select("member", "n").distinct()
-                .join(sets.select(F.col("id").alias("member"), "sets"), "member")
-                .mapInArrow(_resign(rows, bands), "member long, n long, bands array<long>")
-                .select("member", "n", F.explode("bands").alias("bucket")))
-        meeting = around(left)
-    return reduce(DataFrame.union, found, meeting.select("centre", "member"))
+        found.append(judge(meeting))
+        nodes = components(reduce(DataFrame.union, found))
+        # who is like no centre so far meets the others of the bucket around new centres
+        linked = found[-1].union(found[-1].select("member", "centre"))
+        placed = (meeting.join(linked, ["centre", "member"], "left_semi").select("bucket", "member")
+                  .union(meeting.select("bucket", "centre")).distinct())
+        rest = meeting.select("bucket", "member").distinct().join(placed, ["bucket", "member"], "left_anti")
+        meeting = _around(named(rest, nodes), TAIL_CENTRES)
+    return nodes
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -231,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     reps = settle(classes.join(whole.select(F.col("id").alias("member"), "set_key", "n", "bands"),
                                ["set_key", "member"])
                   .dropDuplicates(["set_key", "member"]).select("member", "n", "bands"))
-    joined = components(_links(source, reps, shingle, percent))
+    joined = _components(source, reps, shingle, percent)
     named = settle(classes.join(joined.withColumnRenamed("node", "member"), "member", "left")
                    .select("set_key", F.coalesce("component", "member").alias("component")))
     alone = signed.where("not (n > 0 and id is not null)").select(
