@@ -21,6 +21,9 @@ from debtatlas.functions.money import MONEY, WIDE_MONEY
 CELLS_PER_OCTAVE = 1024
 MAX_CELLS = 2 * 60 * CELLS_PER_OCTAVE + 2
 NULL_CELL = -(2 ** 30)
+# Leading bits of an amount in cents that its fine code keeps; within a cell about ten of
+# them are the same, so a cell has no more than some 2 ** 18 fine codes.
+FINE_BITS = 27
 
 
 def cell_of(value: Column) -> Column:
@@ -33,6 +36,17 @@ def cell_of(value: Column) -> Column:
             .otherwise(F.lit(0)))
 
 
+def fine_code(cell: Column, value: Column) -> Column:
+    """Order-preserving code within a cell: the amount in cents without its low bits.
+
+    Amounts below R$ 1.3 million keep all bits; one fine code holds at most 8,192 different
+    amounts at R$ 10 billion."""
+    octave = F.floor((F.abs(cell) - 1) / F.lit(CELLS_PER_OCTAVE))
+    drop = F.greatest(octave + 1 - FINE_BITS, F.lit(0)).cast("int")
+    cents = (value * 100).cast("long")
+    return F.coalesce(F.call_function("shiftright", cents, drop), F.lit(0))
+
+
 def cell_totals(rows: DataFrame, value: str, by: Sequence[str] = (),
                 carry: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
     """Per group and cell: rows ``n``, rows with an amount ``com_valor``, their sum
@@ -85,12 +99,19 @@ def middle_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def median_of(middle_amounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact median per group as ``mediana`` from the amounts of its middle cells.
 
-    The mean of two middles is cut to cents towards zero. Without groups there is one
-    row, NULL for no data.
+    Counts per fine code show in which of them a middle lies; only its amounts are put in
+    order. The mean of two middles is cut to cents towards zero. Without groups there is
+    one row, NULL for no data.
     """
+    coded = middle_amounts.withColumn("fino", fine_code(F.col("cell"), F.col("valor")))
+    upwards = Window.partitionBy(*by, "meio").orderBy("fino")
+    place = (coded.groupBy(*by, "meio", "lugar", "fino").agg(F.sum("n_valor").alias("n"))
+             .withColumn("ate", F.sum("n").over(upwards))
+             .filter(F.expr("ate - n < lugar and lugar <= ate"))
+             .select(*by, "meio", "fino", (F.col("ate") - F.col("n")).alias("antes_do_fino")))
     inside = Window.partitionBy(*by, "meio").orderBy("valor")
-    picked = (middle_amounts
-              .withColumn("ate", F.sum("n_valor").over(inside))
+    picked = (coded.join(F.broadcast(place), [*by, "meio", "fino"])
+              .withColumn("ate", F.col("antes_do_fino") + F.sum("n_valor").over(inside))
               .filter(F.expr("ate - n_valor < lugar and lugar <= ate")))
     return (picked
             .groupBy(*by)
@@ -110,18 +131,6 @@ def exact_median(rows: DataFrame, value: str, cells: DataFrame,
 # All rows are thought of as sorted largest first, NULL last. The standing of a part of
 # that order, or of an amount, is what lies before it: ``n_antes`` rows worth ``soma_antes``.
 
-def sliced_amounts(rows: DataFrame, value: str) -> DataFrame:
-    """Every distinct amount once, as ``valor`` with its row count ``n`` and sum, in
-    consecutive slices of similar length. Settle it before use: Spark draws the borders
-    from a sample."""
-    return (rows
-            .groupBy(F.col(value).alias("valor"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .repartitionByRange(F.desc_nulls_last("valor"))
-            .select(F.spark_partition_id().alias("slice"), "valor", "n",
-                    (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
-
-
 def _before(column: str, window) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
@@ -137,17 +146,25 @@ def part_standing(totals: DataFrame, order: Column) -> DataFrame:
         F.sum("soma").over(Window.partitionBy()).cast(WIDE_MONEY).alias("total"))
 
 
-def amount_standing(amounts: DataFrame, parts: DataFrame, part: str) -> DataFrame:
+def amount_standing(amounts: DataFrame, cells: DataFrame) -> DataFrame:
     """Add the standing of each amount and the sum of everything, given the standing of
-    the parts. Each part is put in order on its own."""
-    larger = (Window.partitionBy(part).orderBy(F.desc("valor"))
+    the cells. Fine codes are put in order within their cell, amounts within their code."""
+    coded = amounts.withColumn("fino", fine_code(F.col("cell"), F.col("valor")))
+    above = (Window.partitionBy("cell").orderBy(F.desc("fino"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    larger = (Window.partitionBy("cell", "fino").orderBy(F.desc("valor"))
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.select(part, F.col("n_antes").alias("n_partes"),
-                           F.col("soma_antes").alias("soma_partes"), "total")
-    return (amounts
-            .join(F.broadcast(offsets), part)
-            .select(part, "valor", "n", "soma",
-                    (F.col("n_partes") + _before("n", larger)).alias("n_antes"),
-                    (F.col("soma_partes") + _before("soma", larger)).cast(WIDE_MONEY)
-                    .alias("soma_antes"),
+    codes = (coded.groupBy("cell", "fino")
+             .agg(F.sum("n").alias("n"), F.sum("soma").cast(WIDE_MONEY).alias("soma"))
+             .select("cell", "fino", _before("n", above).alias("n_finos"),
+                     _before("soma", above).alias("soma_finos")))
+    offsets = cells.select("cell", F.col("n_antes").alias("n_celas"),
+                           F.col("soma_antes").alias("soma_celas"), "total")
+    return (coded
+            .join(codes, ["cell", "fino"])
+            .join(F.broadcast(offsets), "cell")
+            .select("cell", "valor", "n", "soma",
+                    (F.col("n_celas") + F.col("n_finos") + _before("n", larger)).alias("n_antes"),
+                    (F.col("soma_celas") + F.col("soma_finos") + _before("soma", larger))
+                    .cast(WIDE_MONEY).alias("soma_antes"),
                     "total"))

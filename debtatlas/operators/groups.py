@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from debtatlas.functions.documents import (
     COMPANY_DIGITS, company_root, digits, is_headquarters)
 from debtatlas.functions.money import WIDE_MONEY, mean, percent_of, ratio_percent
-from debtatlas.operators.repeated import BROADCAST_BYTES, repeated_keys
 
 SELECTED = "valor_divida_selecionada"
 
@@ -20,16 +19,10 @@ def _companies(silver: DataFrame) -> DataFrame:
             .withColumn("cnpj_raiz", company_root(F.col("digitos"))))
 
 
-def corporate_groups(silver: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Groups with more than one record, largest selected debt first.
-
-    Most companies stand alone, so roots are counted first and only records of
-    repeated roots carry their names and amounts into the shuffle.
-    """
-    companies = _companies(silver)
-    roots = repeated_keys(companies, "cnpj_raiz", broadcast_bytes)
+def corporate_groups(silver: DataFrame) -> DataFrame:
+    """Groups with more than one record, largest selected debt first."""
     headquarters = is_headquarters(F.col("digitos"))
-    return ((roots.repeated(companies) if roots.few else companies)
+    return (_companies(silver)
             .groupBy("cnpj_raiz")
             .agg(F.max("nome_devedor").alias("razao_social_referencia"),
                  F.count(F.lit(1)).alias("total_estabelecimentos"),

@@ -58,10 +58,12 @@ def macro_metrics(silver: DataFrame) -> DataFrame:
 def dispersion(silver: DataFrame) -> DataFrame:
     """Coefficient of variation in percent, from the unrounded moments: one row."""
     selected = F.col(SELECTED)
+    exact = ratio(F.col("total"), F.col("com_valor"))
     return (silver
-            .agg(F.avg(selected.cast("double")).alias("mean"),
+            .agg(F.sum(selected).cast(WIDE_MONEY).alias("total"),
+                 F.count(selected).alias("com_valor"),
                  F.stddev_samp(selected).alias("spread"))
-            .select(round2(F.col("mean")).alias("ticket_medio_fgts"),
+            .select(mean(F.col("total"), F.col("com_valor")).alias("ticket_medio_fgts"),
                     round2(F.col("spread")).alias("desvio_padrao_fgts"),
-                    round2(ratio(F.col("spread"), F.col("mean")) * F.lit(100.0))
+                    round2(ratio(F.col("spread"), exact) * F.lit(100.0))
                     .alias("coeficiente_variacao_pct")))

@@ -1,8 +1,7 @@
 """Concentration of the selected debt: ranking, running totals and tiers.
 
-Ranks and running totals follow from how often each amount occurs and what lies before
-it, so no step sorts the whole roll in one task. Within one amount the order is by
-document, then name, and the j-th record adds j times the amount.
+The roll is put in order by slices, largest amount first, then by document and name; a
+slice starts from the count and sum of those before it. No step sorts it in one task.
 """
 
 from __future__ import annotations
@@ -13,9 +12,8 @@ from pyspark.sql import functions as F
 from debtatlas.functions.money import (
     MONEY, WIDE_MONEY, percent_of, ratio, ratio_percent)
 from debtatlas.operators.distribution import (
-    amount_standing, amounts_in, cell_totals, median_of, middle_cells, part_standing,
-    sliced_amounts)
-from debtatlas.operators.ranking import TASK_ROWS, position_within
+    amount_standing, amounts_in, cell_totals, median_of, middle_cells, part_standing)
+from debtatlas.operators.ranking import SERIAL, SLICE, sliced
 from debtatlas.operators.segments import summarise
 from debtatlas.session import settle
 
@@ -41,33 +39,23 @@ def _tier(running: Column, total: Column) -> Column:
 
 # --- rows ---------------------------------------------------------------------------
 
-def _cents(value: Column) -> Column:
-    """Whole cents, NULL below all others: a join and window key that is never NULL."""
-    return F.coalesce((value * 100).cast("long"), F.lit(-2 ** 63))
-
-
-def pareto_rows(silver: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+def pareto_rows(silver: DataFrame) -> DataFrame:
     """Each record with its rank, running total, share and tier."""
-    rows = silver.select("cpf_cnpj", "nome_devedor", SELECTED,
-                         _cents(F.col(SELECTED)).alias("centavos"))
-    dist = settle(sliced_amounts(silver, SELECTED))
-    slices = part_standing(
-        dist.groupBy("slice").agg(F.sum("n").alias("n"),
-                                  F.sum("soma").cast(WIDE_MONEY).alias("soma")),
-        F.col("slice"))
-    standing = (amount_standing(dist, slices, "slice")
-                .withColumn("centavos", _cents(F.col("valor")))
-                .select("centavos", "n_antes", "soma_antes", "total"))
-    placed = position_within(
-        rows, ["centavos"],
-        [F.asc_nulls_last("cpf_cnpj"), F.asc_nulls_last("nome_devedor")],
-        dist.select(_cents(F.col("valor")).alias("centavos"), "n"), task_rows, standing)
-    running = F.col("soma_antes") + F.col("position") * F.coalesce(F.col(SELECTED), F.lit(0))
-    return (placed
+    order = [F.desc_nulls_last(SELECTED), F.asc_nulls_last("cpf_cnpj"),
+             F.asc_nulls_last("nome_devedor")]
+    cut = sliced(silver.select("cpf_cnpj", "nome_devedor", SELECTED), order)
+    offsets = part_standing(
+        cut.groupBy(SLICE).agg(F.count(F.lit(1)).alias("n"),
+                               F.sum(SELECTED).cast(WIDE_MONEY).alias("soma")),
+        F.col(SLICE)).select(SLICE, "n_antes", "soma_antes", "total")
+    here = Window.partitionBy(SLICE).orderBy(*order, SERIAL)
+    so_far = F.sum(SELECTED).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.col("soma_antes") + F.coalesce(so_far, F.lit(0))
+    return (cut.join(F.broadcast(offsets), SLICE)
+            .withColumn("ranking", F.col("n_antes") + F.row_number().over(here))
             .withColumn("soma_acumulada_fgts",
                         F.when(F.col("total").isNotNull(), running).cast(WIDE_MONEY))
-            .select("cpf_cnpj", "nome_devedor", SELECTED,
-                    (F.col("n_antes") + F.col("position")).alias("ranking"),
+            .select("cpf_cnpj", "nome_devedor", SELECTED, "ranking",
                     "soma_acumulada_fgts",
                     F.col("total").alias("montante_global_fgts"),
                     ratio_percent(F.col("soma_acumulada_fgts"), F.col("total"))
@@ -136,7 +124,7 @@ def pareto_summary(silver: DataFrame) -> DataFrame:
     amounts_cut = (amounts_in(rows, SELECTED, standing.filter(cut).select("cell"), ["cell"])
                    .select("cell", "valor", F.col("n_valor").alias("n"),
                            (F.col("n_valor") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
-    split = _split_by_tier(amount_standing(amounts_cut, standing, "cell")).select(
+    split = _split_by_tier(amount_standing(amounts_cut, standing)).select(
         "*", F.col("n").alias("com_valor"),
         (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma"))
     pieces = settle(whole.unionByName(split)

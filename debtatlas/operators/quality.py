@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from debtatlas.operators.ranking import TASK_ROWS, position_within
-from debtatlas.operators.repeated import BROADCAST_BYTES, repeated_keys
+from debtatlas.operators.ranking import position_within
 
 KEY = "cpf_cnpj"
 COLUMNS = ("cpf_cnpj", "nome_devedor", "nome_fantasia", "valor_total",
@@ -19,38 +18,22 @@ def impact_order() -> list[Column]:
             F.asc_nulls_last("nome_devedor"), F.asc_nulls_last("nome_fantasia")]
 
 
-def key_audit(silver: DataFrame, task_rows: int = TASK_ROWS,
-              broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Every record after the first of its document, largest first; empty for a clean key.
-
-    Only records of repeated documents are sorted, unless those are too many to list.
-    """
-    rows = silver.select(*COLUMNS)
-    keys = repeated_keys(rows, KEY, broadcast_bytes)
-    candidates = keys.repeated(rows) if keys.few else rows
-    return (position_within(candidates, [KEY], impact_order(), keys.counts, task_rows)
+def key_audit(silver: DataFrame) -> DataFrame:
+    """Every record after the first of its document, largest first; empty for a clean key."""
+    return (position_within(silver.select(*COLUMNS), KEY, impact_order())
             .filter(F.col("position") > 1)
             .withColumnRenamed("position", "indice_duplicidade")
             .orderBy(F.desc_nulls_last("valor_divida_selecionada"), KEY, "indice_duplicidade"))
 
 
-def dedupe(silver: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedupe(silver: DataFrame) -> DataFrame:
     """One record per document, the one of highest impact.
 
-    Records of documents that occur once stay where they are. Among the others Spark
-    limits each group before the shuffle, so a document with many records sends one
-    per task.
+    Spark keeps the best record of each document before the shuffle, so a document with
+    many records sends one per task.
     """
-    rows = silver.select(*COLUMNS)
-    keys = repeated_keys(rows, KEY, broadcast_bytes)
-
-    def first_of(candidates: DataFrame) -> DataFrame:
-        best = Window.partitionBy(KEY).orderBy(*impact_order())
-        return (candidates
-                .withColumn("position", F.row_number().over(best))
-                .filter(F.col("position") == 1)
-                .drop("position"))
-
-    if not keys.few:
-        return first_of(rows)
-    return keys.single(rows).unionByName(first_of(keys.repeated(rows)))
+    best = Window.partitionBy(KEY).orderBy(*impact_order())
+    return (silver.select(*COLUMNS)
+            .withColumn("position", F.row_number().over(best))
+            .filter(F.col("position") == 1)
+            .drop("position"))

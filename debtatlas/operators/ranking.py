@@ -1,95 +1,50 @@
-"""Row numbers within groups, also when one group holds much of the table.
+"""Row numbers over a total order, whatever the size of a group.
 
-Groups that fit a task use the stock window. A larger group is cut into range
-slices of its own order: equal rows are first folded into one with a copy count,
-so any two rows can be told apart and no value is too frequent to be cut. The
-sliced rows are written to the shared folder before slices are counted, because
-slice borders come from sampling and must not differ between the two readings.
+Rows are cut into consecutive slices of the order. A serial number breaks the last ties,
+so copies of one row can be cut apart too, and no key or amount is too frequent for a
+slice. Slices are written to the shared folder before anything is counted in them, because
+their borders come from sampling and must not differ between two readings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from math import ceil
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from debtatlas.session import settle
 
-# Rows one task should have to sort, and the most groups treated as oversized:
-# the bar rises with the table so that their list stays small enough to broadcast.
-TASK_ROWS = 4_000_000
-MAX_OVERSIZED = 10_000
-COPIES_PER_BLOCK = 100_000
+SLICE, SERIAL = "slice", "serial"
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on ``keys`` with NULL equal to NULL; key columns come from ``left`` only."""
-    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_{k}" for k in keys])
+def sliced(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows with their ``slice`` and a ``serial`` number that tells copies apart."""
+    return settle(rows
+                  .withColumn(SERIAL, F.monotonically_increasing_id())
+                  .repartitionByRange(*order, F.col(SERIAL))
+                  .withColumn(SLICE, F.spark_partition_id()))
 
 
-def position_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
-                    sizes: DataFrame, task_rows: int = TASK_ROWS,
-                    attach: DataFrame | None = None) -> DataFrame:
-    """Add ``position``: 1, 2, ... per group of ``by`` in ``order``.
+def position_within(rows: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
+    """Add ``position``: 1, 2, ... per value of ``by`` in ``order``; NULL is a value.
 
-    ``sizes`` is a settled frame with the row count ``n`` of each group that may be
-    large. ``by`` and ``order`` together tell any two different rows apart. ``attach``
-    has one row of further columns per group, whose keys are not NULL then; it meets
-    the rows where they already are, and its oversized groups are broadcast.
+    Inside a slice rows are numbered per key. Only the first key of a slice can have begun
+    before it, so what lies ahead takes two counts per slice: those of its outermost keys.
     """
-    def attached(frame: DataFrame, columns: DataFrame | None) -> DataFrame:
-        return frame if columns is None else frame.join(columns, list(by))
-
-    stats = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    bar = max(task_rows, ceil((stats.total or 0) / MAX_OVERSIZED))
-    numbered = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
-    if (stats.largest or 0) <= bar:
-        return attached(rows.withColumn("position", numbered), attach)
-
-    oversized = sizes.filter(F.col("n") > bar)
-    large_rows = oversized.agg(F.sum("n").alias("n")).first().n
-    slices = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                 ceil(large_rows / task_rows))
-    keys = F.broadcast(oversized.select(*by))
-    regular = match_keys(rows, keys, by, "left_anti").withColumn("position", numbered)
-    sliced = _sliced_positions(match_keys(rows, keys, by, "left_semi"), by, order, slices)
-    of_oversized = None if attach is None else F.broadcast(
-        match_keys(attach, keys, by, "left_semi"))
-    return attached(regular, attach).unionByName(attached(sliced, of_oversized))
-
-
-def _sliced_positions(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
-                      slices: int) -> DataFrame:
-    folded = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
-    sliced = settle(folded
-                    .repartitionByRange(slices, *[F.col(k) for k in by], *order)
-                    .withColumn("slice", F.spark_partition_id()))
-    earlier = (Window.partitionBy(*by).orderBy("slice")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    # One row per slice and group it touches: at most slices + groups.
-    ahead = (sliced.groupBy(*by, "slice").agg(F.sum("copies").alias("n"))
-             .select(*by, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead")))
-    here = (Window.partitionBy(*by, "slice").orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    placed = (match_keys(sliced, F.broadcast(ahead), [*by, "slice"], "inner")
-              .withColumn("ahead",
-                          F.col("ahead") + F.coalesce(F.sum("copies").over(here), F.lit(0))))
-    if sliced.agg(F.max("copies")).first()[0] <= COPIES_PER_BLOCK:
-        blocks = placed.withColumn("block", F.lit(0).cast("long"))
-    else:
-        # Blocks of copies are spread over tasks before they are unfolded.
-        blocks = (placed
-                  .withColumn("block", F.explode(F.sequence(
-                      F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES_PER_BLOCK}"))))
-                  .repartition(slices, *by, "ahead", "block"))
-    first = F.col("block") * COPIES_PER_BLOCK
-    last = F.least(F.col("copies"), first + COPIES_PER_BLOCK) - 1
-    return (blocks
-            .withColumn("step", F.explode(F.sequence(first, last)))
-            .select(*rows.columns, (F.col("ahead") + F.col("step") + 1).alias("position")))
+    cut = sliced(rows, [F.asc_nulls_first(by), *order])
+    key = F.struct(F.col(by).isNotNull().alias("known"), F.col(by).alias("key"))
+    edges = cut.groupBy(SLICE).agg(F.min(key).alias("lowest"), F.max(key).alias("highest"))
+    outer = (cut.select(SLICE, key.alias("key")).join(F.broadcast(edges), SLICE)
+             .filter("key <=> lowest or key <=> highest")
+             .groupBy("key", SLICE).agg(F.count(F.lit(1)).alias("n")))
+    earlier = Window.partitionBy("key").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = outer.select(F.col(SLICE).alias("of_slice"), F.col("key").alias("of_key"),
+                         F.sum("n").over(earlier).alias("ahead")).filter("ahead > 0")
+    here = Window.partitionBy(SLICE, by).orderBy(*order, SERIAL)
+    return (cut
+            .withColumn("position", F.row_number().over(here).cast("long"))
+            .join(F.broadcast(ahead),
+                  (F.col(SLICE) == F.col("of_slice")) & key.eqNullSafe(F.col("of_key")), "left")
+            .withColumn("position", F.col("position") + F.coalesce("ahead", F.lit(0)))
+            .drop("of_slice", "of_key", "ahead", SLICE, SERIAL))

@@ -121,10 +121,10 @@ def sector_median_ratio(silver: DataFrame) -> DataFrame:
 
 # --- members of a segment ------------------------------------------------------------
 
-def segment_members(rows: DataFrame, label: str, outcome: str, k: int) -> DataFrame:
-    """The ``k`` largest debtors of one segment."""
-    return (rows
-            .filter(F.col(label) == outcome)
-            .orderBy(F.desc_nulls_last(SELECTED), F.asc_nulls_last("cpf_cnpj"),
-                     F.asc_nulls_last("nome_devedor"), F.desc_nulls_last(TOTAL))
-            .limit(k))
+def segment_members(rows: DataFrame, label: str, outcome: str, k: int | None = None) -> DataFrame:
+    """The debtors of one segment, largest first; with ``k`` only that many."""
+    members = (rows
+               .filter(F.col(label) == outcome)
+               .orderBy(F.desc_nulls_last(SELECTED), F.asc_nulls_last("cpf_cnpj"),
+                        F.asc_nulls_last("nome_devedor")))
+    return members if k is None else members.limit(k)

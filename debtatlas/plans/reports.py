@@ -6,20 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from debtatlas.functions.labels import PUBLIC_SECTOR
+from debtatlas.functions import labels
 from debtatlas.operators import groups, macro, pareto, quality, segments
 from debtatlas.sources.staging import STAGING_VIEW
 
-MEMBERS_SHOWN = 10
+TOP = 10
 
 
-def public_sector_members(silver: DataFrame) -> DataFrame:
-    return segments.segment_members(
-        segments.sector_rows(silver), "esfera_institucional", PUBLIC_SECTOR, MEMBERS_SHOWN)
+def _members(rows: Callable[[DataFrame], DataFrame], label: str, outcome: str):
+    """All debtors of one segment, largest first."""
+    return lambda silver: segments.segment_members(rows(silver), label, outcome)
 
 
 def top_ten_share(silver: DataFrame) -> DataFrame:
-    return pareto.top_share(silver, MEMBERS_SHOWN)
+    return pareto.top_share(silver, TOP)
 
 
 REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -39,7 +39,14 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sector_rows": segments.sector_rows,
     "sector_summary": segments.sector_summary,
     "sector_median_ratio": segments.sector_median_ratio,
-    "public_sector_members": public_sector_members,
+    "public_sector_members": _members(
+        segments.sector_rows, "esfera_institucional", labels.PUBLIC_SECTOR),
+    "person_members": _members(segments.entity_rows, "tipo_pessoa", labels.PERSON),
+    "invalid_document_members": _members(
+        segments.entity_rows, "tipo_pessoa", labels.INVALID_DOCUMENT),
+    "exclusive_debt_members": _members(
+        segments.debt_profile_rows, "perfil_divida", labels.PROFILE_EXCLUSIVE),
+    "first_tier_members": _members(pareto.pareto_rows, "faixa_pareto", pareto.TIERS[0][1]),
     "pareto_rows": pareto.pareto_rows,
     "pareto_summary": pareto.pareto_summary,
     "pareto_cumulative": pareto.pareto_cumulative,

@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER_SETTING = "spark.checkpoint.dir"
+_invented: dict[str, str] = {}
+_settled: dict[str, list[str]] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; invent one only for a local session without it."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is not None:
-        return
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="debtatlas-")
-    context.setCheckpointDir(folder)
+
+def _application(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", "session")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder every executor reaches, for tables that operators write and read again."""
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext.getCheckpointDir()
+    """This application's part of the folder that every executor reaches.
+
+    The cluster names the folder in ``spark.checkpoint.dir`` and answers for it being
+    shared. Only a session on one machine may go without: it gets a temporary one.
+    """
+    application = _application(spark)
+    named = spark.conf.get(FOLDER_SETTING, None)
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError(f"set {FOLDER_SETTING} to a folder all executors share")
+        if application not in _invented:
+            _invented[application] = tempfile.mkdtemp(prefix="debtatlas-")
+        named = _invented[application]
+    return f"{named}/{application}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -34,6 +40,21 @@ def settle(df: DataFrame) -> DataFrame:
     The lineage ends there: every later reader sees the very same rows, also after
     executors are lost, and reads only the columns it needs.
     """
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4()}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4()}"
+    _settled.setdefault(_application(spark), []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``settle`` wrote in this application; frames that read it are spent.
+
+    Call it when the reports of a run have been written or collected.
+    """
+    paths = _settled.pop(_application(spark), [])
+    configuration = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+    return len(paths)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +31,16 @@ FORMAT = {
 RAW_TABLE = "divida_fgts"
 
 
-def read_roll(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_roll(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     """Read extracts as text columns named by their header.
 
     Types are never inferred: inference would turn unpunctuated documents into
-    numbers and drop their leading zeros. Quotes cannot hold line breaks, so
-    large files split across tasks.
+    numbers and drop their leading zeros. Every file must have the first one's header: a
+    file with other columns, or the same in another order, stops the read. Quotes hold
+    line breaks only with ``multiline``; files then are read whole, so keep them small.
     """
-    raw = spark.read.options(**FORMAT, inferSchema=False, mode="FAILFAST").csv(path)
+    raw = spark.read.options(**FORMAT, inferSchema=False, enforceSchema=False, mode="FAILFAST",
+                             multiLine=multiline).csv(path)
     missing = [c for c in ROLL_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"extract lacks the columns {missing}; found {raw.columns}")
@@ -48,13 +52,24 @@ def write_roll(raw: DataFrame, path: str) -> None:
     raw.write.options(**FORMAT).csv(path)
 
 
-def publish_table(df: DataFrame, table: str = RAW_TABLE) -> None:
-    """Create or replace a catalog table with the rows of ``df``."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
+def publish_table(df: DataFrame, table: str = RAW_TABLE, path: str | None = None) -> DataFrame:
+    """Create or replace a catalog table with the rows of ``df``, at ``path`` if given."""
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def _place(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path).rstrip("/")
 
 
 def publish_parquet(df: DataFrame, path: str) -> DataFrame:
-    """Replace the Parquet copy at ``path`` and return a frame that reads it."""
+    """Replace the Parquet copy at ``path`` and return a frame that reads it.
+
+    A frame that reads what it would replace is refused: its rows would be gone first.
+    """
+    if any(_place(file).startswith(_place(path) + "/") for file in df.inputFiles()):
+        raise ValueError(f"the rows to publish are read from {path}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

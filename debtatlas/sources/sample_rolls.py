@@ -68,3 +68,16 @@ def line_roll(spark: SparkSession, folder: str) -> DataFrame:
         F.nullif(F.trim(F.col("l_returnflag")), F.lit("")).alias("nome_fantasia"),
         (selected * F.col("l_linenumber")).cast(MONEY).alias("valor_total"),
         selected.alias("valor_divida_selecionada"))
+
+
+def skewed_roll(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed roll with a record per order line on which few documents and amounts recur:
+    a supplier is a company, the line number its establishment, the quantity its debt."""
+    selected = F.col("l_quantity").cast(MONEY)
+    return _table(spark, folder, "lineitem").select(
+        F.format_string("%08d%04d00", F.col("l_suppkey").cast("long"), F.col("l_linenumber").cast("long"))
+        .alias("cpf_cnpj"),
+        F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("nome_devedor"),
+        F.nullif(F.trim(F.col("l_returnflag")), F.lit("")).alias("nome_fantasia"),
+        (selected * F.col("l_linenumber")).cast(MONEY).alias("valor_total"),
+        selected.alias("valor_divida_selecionada"))

@@ -4,8 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import oracles
 from debtatlas.functions import labels
 from debtatlas.functions.money import mean, parse_brl, percent_of, round2
+from debtatlas.operators import pareto
 
 MONEY_TEXT = ["", " ", "n/d", "R$ 1", "1e3", ".5", "5.", "+7", "-3,25", " 12,75 ", "1.234,56",
               "1.234.567,895", "0,005", "-0,005", "12345678901234567,00", "1,2,3", "\t7", "0",
@@ -95,3 +97,20 @@ def test_sector(spark, name, trade, public):
     frame = spark.createDataFrame([(name, trade)], "n string, t string")
     got = frame.select(labels.institutional_sector(F.col("n"), F.col("t"))).first()[0]
     assert got == (labels.PUBLIC_SECTOR if public else labels.PRIVATE_SECTOR)
+
+
+@pytest.mark.parametrize("fragment", oracles.PUBLIC_NAME_FRAGMENTS)
+def test_each_name_fragment_marks_a_public_body(spark, fragment):
+    rows = [(f"x {fragment.lower()} y", None), (None, f"x {fragment} y"), (fragment[:-1], None)]
+    frame = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, n string, t string")
+    got = [r[1] for r in frame.select("i", labels.institutional_sector(F.col("n"), F.col("t"))).orderBy("i").collect()]
+    trade = oracles.PUBLIC_SECTOR if fragment in oracles.PUBLIC_TRADE_NAME_FRAGMENTS else oracles.PRIVATE_SECTOR
+    assert got == [oracles.PUBLIC_SECTOR, trade, oracles.PRIVATE_SECTOR]
+
+
+def test_fixed_values_are_those_of_the_statements():
+    for name in ("COMPANY", "PERSON", "INVALID_DOCUMENT", "PROFILE_EXCLUSIVE", "PROFILE_MAJORITY",
+                 "PROFILE_RELEVANT", "PROFILE_RESIDUAL", "PUBLIC_SECTOR", "PRIVATE_SECTOR",
+                 "PUBLIC_NAME_FRAGMENTS", "PUBLIC_TRADE_NAME_FRAGMENTS"):
+        assert getattr(labels, name) == getattr(oracles, name)
+    assert (pareto.TIERS, pareto.TAIL) == (oracles.TIERS, oracles.TAIL)

@@ -4,9 +4,12 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from conftest import REPORT_SQL
-from debtatlas.operators import groups, pareto, quality, ranking
+from debtatlas.functions import labels
+from debtatlas.operators import distribution, pareto, quality, segments
 from debtatlas.plans.reports import REPORTS
 
 COMPANY = "{:02d}.000.00{}/000{}-00"
@@ -74,27 +77,21 @@ def test_report(make_roll, roll_name, name):
     roll.check(name, REPORTS[name](roll.silver))
 
 
-@pytest.mark.parametrize("task_rows", [1, 7])
+@pytest.mark.parametrize("slices", ["1", "16"])
 @pytest.mark.parametrize("roll_name", CROWDED)
-def test_oversized_groups_rank_alike(make_roll, roll_name, task_rows):
-    roll = make_roll(ROLLS[roll_name])
-    roll.check("pareto_rows", pareto.pareto_rows(roll.silver, task_rows))
-    roll.check("key_audit", quality.key_audit(roll.silver, task_rows))
-
-
-@pytest.mark.parametrize("roll_name", CROWDED)
-def test_many_repeated_keys(make_roll, roll_name):
-    roll = make_roll(ROLLS[roll_name])
-    roll.check("key_audit", quality.key_audit(roll.silver, broadcast_bytes=-1))
-    roll.check("dedupe", quality.dedupe(roll.silver, broadcast_bytes=-1))
-    roll.check("corporate_groups", groups.corporate_groups(roll.silver, broadcast_bytes=-1))
-
-
-def test_copies_unfold_in_blocks(make_roll, monkeypatch):
-    monkeypatch.setattr(ranking, "COPIES_PER_BLOCK", 7)
-    roll = make_roll(ROLLS["identical"])
-    roll.check("pareto_rows", pareto.pareto_rows(roll.silver, 1))
-    roll.check("key_audit", quality.key_audit(roll.silver, 1))
+def test_ranks_do_not_depend_on_the_slices(spark, make_roll, roll_name, slices):
+    """With more slices than values, one document or amount covers many of them."""
+    kept = {name: spark.conf.get(name) for name in (
+        "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        roll = make_roll(ROLLS[roll_name])
+        roll.check("pareto_rows", pareto.pareto_rows(roll.silver))
+        roll.check("key_audit", quality.key_audit(roll.silver))
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
 
 
 def test_median_is_exact_beyond_double_precision(make_roll):
@@ -125,14 +122,48 @@ def test_published_identities(make_roll):
                 == group.total_estabelecimentos)
 
 
-def test_ranks_without_broadcasts(spark, make_roll):
-    """Rows and standings meet in a shuffle when the standings are too many to broadcast."""
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        for name in ("random_signed", "ties_over_limits"):
-            roll = make_roll(ROLLS[name])
-            for task_rows in (3, 1000):
-                roll.check("pareto_rows", pareto.pareto_rows(roll.silver, task_rows))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+def test_a_crowded_middle_cell_is_split(spark):
+    """A million amounts of one cell: the median is exact, and no fine code holds many."""
+    low = 10 ** 12
+    rows = spark.range(1_000_000).select(
+        ((F.lit(low) + F.col("id") * 600 + F.col("id") % 7).cast("decimal(20,0)") / 100)
+        .cast("decimal(18,2)").alias("valor"))
+    coded = rows.withColumn("cell", distribution.cell_of(F.col("valor")))
+    first = coded.groupBy("cell").count().orderBy(F.desc("count")).first()
+    assert first["count"] > 500_000
+    fullest = (coded.groupBy("cell", distribution.fine_code(F.col("cell"), F.col("valor")).alias("f"))
+               .count().agg(F.max("count")).first()[0])
+    assert fullest <= 2 ** 13
+    cells = distribution.cell_totals(rows, "valor")
+    cents = sorted(low + i * 600 + i % 7 for i in (499_999, 500_000))
+    got = distribution.exact_median(rows, "valor", cells).first().mediana
+    assert got == Decimal(sum(cents) // 2) / 100
+
+
+def test_fine_codes_follow_the_amounts(spark):
+    size = F.pow(F.lit(10.0), F.rand(7) * 17.9)
+    cents = (size * F.when(F.rand(8) < 0.4, -1).otherwise(1)).cast("long")
+    rows = (spark.range(100_000).select(F.explode(F.array(cents - 1, cents, cents + 1)).alias("c"))
+            .select((F.col("c").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("v"))
+            .withColumn("cell", distribution.cell_of(F.col("v")))
+            .withColumn("f", distribution.fine_code(F.col("cell"), F.col("v"))))
+    before = Window.partitionBy("cell").orderBy("v")
+    assert rows.withColumn("p", F.lag("f").over(before)).filter("f < p").count() == 0
+
+
+def test_mean_is_the_same_in_both_reports(make_roll):
+    for rows in ROLLS.values():
+        silver = make_roll(rows).silver
+        assert (REPORTS["dispersion"](silver).first().ticket_medio_fgts
+                == REPORTS["macro_metrics"](silver).first().ticket_medio_fgts)
+
+
+def test_members_are_all_there(make_roll):
+    silver = make_roll(ROLLS["random_positive"]).silver
+    for name, rows, label, outcome in (
+            ("public_sector_members", segments.sector_rows, "esfera_institucional", labels.PUBLIC_SECTOR),
+            ("person_members", segments.entity_rows, "tipo_pessoa", labels.PERSON)):
+        every = rows(silver).filter(F.col(label) == outcome).count()
+        assert REPORTS[name](silver).count() == every > 30
+    assert segments.segment_members(
+        segments.entity_rows(silver), "tipo_pessoa", labels.PERSON, 3).count() == 3

@@ -1,11 +1,13 @@
 """Extracts, the staging contract and the catalog."""
 
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 
 from debtatlas import __main__ as command
-from debtatlas.plans.reports import report
+from debtatlas.plans.reports import REPORTS, report
+from debtatlas.session import release, shared_folder
 from debtatlas.sources import roll_csv, staging
 
 HEADER = "CPF/CNPJ;Nome;Nome Fantasia;Valor Total;Valor da Dívida Selecionada;Extra"
@@ -84,3 +86,51 @@ def test_command_line(spark, extract, tmp_path, capsys):
     command.report(spark, "entity_summary", warehouse)
     shown = capsys.readouterr().out
     assert "Valor da Dívida Selecionada" in shown and "Pessoa Jurídica" in shown
+
+
+def test_files_with_another_column_order_are_refused(spark, tmp_path):
+    for name, head, row in (("a", HEADER, "1;A;;200,00;20,00;x"), (
+            "b", "CPF/CNPJ;Nome;Nome Fantasia;Valor da Dívida Selecionada;Valor Total;Extra", "2;B;;20,00;200,00;x")):
+        (tmp_path / f"{name}.csv").write_bytes(f"{head}\n{row}\n".encode("latin-1"))
+    with pytest.raises(Exception, match="(?i)header"):
+        roll_csv.read_roll(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    assert roll_csv.read_roll(spark, str(tmp_path / "b.csv")).count() == 1
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "roll.csv"
+    path.write_bytes((HEADER + '\n1;"A\nB";;1;1;x\n').encode("latin-1"))
+    assert roll_csv.read_roll(spark, str(path), multiline=True).first().Nome == "A\nB"
+    with pytest.raises(Exception):
+        roll_csv.read_roll(spark, str(path)).collect()
+
+
+def test_a_frame_does_not_replace_what_it_reads(spark, extract, tmp_path):
+    copy = roll_csv.publish_parquet(roll_csv.read_roll(spark, extract), str(tmp_path / "bronze"))
+    with pytest.raises(ValueError):
+        roll_csv.publish_parquet(copy.limit(1), str(tmp_path / "bronze"))
+    assert copy.count() == 3
+
+
+def test_command_line_writes_every_row(spark, tmp_path, capsys):
+    path = tmp_path / "roll.csv"
+    path.write_bytes("\n".join([HEADER, *[f"{n};N{n};;{n},00;1,00;x" for n in range(150)]]).encode("latin-1"))
+    warehouse, out = str(tmp_path / "warehouse"), str(tmp_path / "rows")
+    command.ingest(spark, str(path), warehouse)
+    command.report(spark, "entity_rows", warehouse)
+    assert "50 more rows" in capsys.readouterr().out
+    command.report(spark, "entity_rows", warehouse, out)
+    assert spark.read.parquet(out).count() == 150
+    command.report(spark, "entity_rows", warehouse, out + ".csv")
+    assert spark.read.option("header", True).csv(out + ".csv").count() == 150
+
+
+def test_nothing_settled_is_left_after_release(spark, extract):
+    release(spark)
+    silver = staging.stage(roll_csv.read_roll(spark, extract))
+    for name in ("pareto_summary", "macro_metrics", "key_audit"):
+        REPORTS[name](silver).collect()
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    assert len(list(folder.glob("settled-*"))) > 0
+    assert release(spark) > 0
+    assert list(folder.glob("settled-*")) == []
