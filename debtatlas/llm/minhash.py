@@ -1,16 +1,16 @@
 """Near-duplicate documents by one-permutation MinHash.
 
-Signature: one hash throws a document's shingles into ``BANDS * ROWS`` bins, each bin
+Signature: one hash throws a document's shingles into bins, each bin
 keeps its least value, and empty bins copy a filled one picked by their own probe
-sequence (optimal densification). Buckets: ``ROWS`` bins make a band, equal bands meet.
+sequence (optimal densification). Buckets: some bins make a band, equal bands meet.
 Edges: the least member of a bucket is its centre, and only (centre, member) pairs are
 compared, on full shingle sets. A bucket whose members these links do not bring into one
 component is dealt again, all of it, by ``SHARPER`` bands, where pairs that are unlike
 hardly meet and like ones meet without the old centre; what is unlike its centre even there
 meets around new centres until none is left. So links aside of a centre are found, and the
 pairs of a bucket are never listed. Documents with equal sets are one class before all
-this. The chance that a pair at similarity 0.85 shares no bucket is (1 - 0.85**5)**24 = 8e-7,
-and 7e-6 among those dealt again.
+this. Bands have as many bins as a chance of ``MISS`` to overlook a pair right at the
+threshold allows: 5 at a similarity of 0.85, 4 at 0.8, and 16 and 11 when dealt again.
 """
 
 from __future__ import annotations
@@ -27,15 +27,24 @@ from . import words
 from .common import settle, table
 from .components import components
 
-BANDS, ROWS = 24, 5
-#: (rows, bands) by which buckets that are not one component yet are dealt again.
-SHARPER = (20, 300)
-#: Centres of a bucket that is still open after that; its members are compared with each.
-TAIL_CENTRES = 16
+#: Bands of the first deal, and of the second, for buckets that are not one component yet.
+BANDS, SHARPER = 24, 150
+#: Chance that a pair right at the threshold shares no bucket.
+MISS = 1e-5
+#: Centres of a bucket that is still open after that, so many times more in each round.
+TAIL_CENTRES = 8
 _VALUE_BITS = 40
 _SEED, _PROBES, _BAND = words.numbered(3, 41)
 
 
+def rows_per_band(bands: int, percent: int) -> int:
+    """The most rows with which a pair at the threshold is missed with a chance up to ``MISS``."""
+    rows = 1
+    while (1 - (percent / 100) ** (rows + 1)) ** bands <= MISS and rows < 64:
+        rows += 1
+    return rows
+
+
 def shingle_sets(data: np.ndarray, limits: np.ndarray, size: int,
                  codes: np.ndarray = words.BYTES_LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after the other, and their limits.
@@ -65,7 +74,7 @@ def shingle_sets(data: np.ndarray, limits: np.ndarray, size: int,
     return out[fresh], np.concatenate([[0], np.cumsum(fresh)])[bounds]
 
 
-def signatures(sets: np.ndarray, limits: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def signatures(sets: np.ndarray, limits: np.ndarray, size: int) -> np.ndarray:
     """Densified one-permutation signatures, a row per set; rows of empty sets mean nothing."""
     n = len(limits) - 1
     out = np.zeros((n, size), np.uint64)
@@ -100,7 +109,7 @@ def signatures(sets: np.ndarray, limits: np.ndarray, size: int = BANDS * ROWS) -
     return out
 
 
-def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     bands = signature.reshape(len(signature), -1, rows)
     keys = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64) ^ _BAND, bands.shape[:2])
     for row in range(rows):
@@ -113,11 +122,11 @@ def _lists(table: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(table).ravel()))
 
 
-def _sign(shingle: int, id_column: str, text_column: str):
+def _sign(shingle: int, rows: int, id_column: str, text_column: str):
     def run(batches):
         for batch, data, limits in words.chunks(batches, text_column):
             sets, at = shingle_sets(data, limits, shingle)
-            keys = band_keys(signatures(sets, at)).view(np.int64)
+            keys = band_keys(signatures(sets, at, BANDS * rows), rows).view(np.int64)
             digests = [hashlib.blake2b(sets[at[i]:at[i + 1]].tobytes(), digest_size=16).digest()
                        for i in range(len(at) - 1)]
             yield pa.RecordBatch.from_arrays(
@@ -172,19 +181,27 @@ def _resign(rows: int, bands: int):
     return run
 
 
-def _around(rows: DataFrame, centres_per_bucket: int) -> DataFrame:
-    """(bucket, centre, member) with the least members of a bucket as its centres.
+def _centres(rows: DataFrame, per_bucket: int) -> DataFrame:
+    """(bucket, centre, its component): the least members of a bucket, or of its shares.
 
     Buckets of one member, or whose members are in one component already, are left out.
     """
-    share = F.pmod(F.xxhash64("member"), F.lit(centres_per_bucket))
-    open_buckets = settle(rows.groupBy("bucket").agg(
-        (F.min("component") != F.max("component")).alias("open")).where("open").select("bucket"))
-    centres = settle(rows.join(open_buckets, "bucket", "left_semi")
-                     .groupBy("bucket", share.alias("share")).agg(F.min("member").alias("centre"))
-                     .select("bucket", "centre"))
-    return settle(rows.join(centres, "bucket").where("member != centre")
-                  .select("bucket", "centre", "member"))
+    is_open = (F.min("component") != F.max("component")).alias("open")
+    least = F.min(F.struct("member", "component")).alias("least")
+    if per_bucket == 1:
+        found = rows.groupBy("bucket").agg(least, is_open).where("open")
+    else:
+        open_buckets = settle(rows.groupBy("bucket").agg(is_open).where("open").select("bucket"))
+        found = (rows.join(open_buckets, "bucket", "left_semi")
+                 .groupBy("bucket", F.pmod(F.xxhash64("member"), F.lit(per_bucket)).alias("share")).agg(least))
+    return found.select("bucket", F.col("least.member").alias("centre"),
+                        F.col("least.component").alias("centre_component"))
+
+
+def _around(rows: DataFrame, per_bucket: int) -> DataFrame:
+    """(bucket, centre, member) of open buckets, for members of another component."""
+    return settle(rows.join(settle(_centres(rows, per_bucket)), "bucket")
+                  .where("component != centre_component").select("bucket", "centre", "member"))
 
 
 def _components(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -225,18 +242,19 @@ def _components(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) ->
                     .where("open").select("bucket"))
     dealt = settle(rows.join(unsure, "bucket", "left_semi").select("member", "component").distinct()
                    .join(sets.toDF("member", "sets"), "member")
-                   .mapInArrow(_resign(*SHARPER), "member long, component long, bands array<long>")
+                   .mapInArrow(_resign(rows_per_band(SHARPER, percent), SHARPER), "member long, component long, bands array<long>")
                    .select("member", "component", F.explode("bands").alias("bucket")))
-    meeting = _around(dealt, 1)
+    meeting, per_bucket = _around(dealt, 1), TAIL_CENTRES
     while not meeting.isEmpty():
         found.append(judge(meeting))
-        nodes = components(reduce(DataFrame.union, found))
+        if not found[-1].isEmpty():
+            nodes = components(reduce(DataFrame.union, found))
         # who is like no centre so far meets the others of the bucket around new centres
         linked = found[-1].union(found[-1].select("member", "centre"))
         placed = (meeting.join(linked, ["centre", "member"], "left_semi").select("bucket", "member")
                   .union(meeting.select("bucket", "centre")).distinct())
         rest = meeting.select("bucket", "member").distinct().join(placed, ["bucket", "member"], "left_anti")
-        meeting = _around(named(rest, nodes), TAIL_CENTRES)
+        meeting, per_bucket = _around(named(rest, nodes), per_bucket), per_bucket * TAIL_CENTRES
     return nodes
 
 
@@ -254,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     source = docs.select(F.col(id_column).cast("long").alias("id"),
                          F.col(text_column).cast("string").alias("text"))
     signed = settle(source.mapInArrow(
-        _sign(shingle, "id", "text"), "id long, n long, set_key binary, bands array<long>"))
+        _sign(shingle, rows_per_band(BANDS, percent), "id", "text"), "id long, n long, set_key binary, bands array<long>"))
     whole = signed.where("n > 0 and id is not null")
     classes = settle(whole.groupBy("set_key").agg(F.min("id").alias("member")))
     reps = settle(classes.join(whole.select(F.col("id").alias("member"), "set_key", "n", "bands"),
