@@ -7,7 +7,8 @@ out in order: neighbours share a group until it is full, and a prefix that is to
 for one group is split by the words that follow. Each group then fits one task, which
 sorts its suffixes into a depth-limited subtree; nodes at depth ``min_words`` with leaves
 from several documents are the repeats, and every leaf but those of the least document
-loses its window.
+loses its window. What groups find goes back to the chunk of text it came from, and from
+there to its documents, so a document is not listed once per group.
 
 Before suffixes are sent, a task drops those whose window it has already seen in a smaller
 document: they are lost whatever other tasks hold. A passage in a third of all documents
@@ -87,7 +88,8 @@ def _least_of_runs(keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.
     return order, np.repeat(least, np.diff(np.append(begin, len(keys))))
 
 
-_PARTS = "group long, docs binary, keys binary, counts binary, hashes binary, places binary"
+_PACKED = ("docs", "keys", "counts", "hashes", "places")
+_BY_CHUNK = "chunk long, " + ", ".join(f"{name} binary" for name in _PACKED)
 _EMPTY = b""
 
 
@@ -104,6 +106,7 @@ def _send(size: int, first: np.ndarray, splits: np.ndarray):
             if not len(window):
                 continue
             chunk += 1
+            own = (task << 24) | chunk
             order, least = _least_of_runs(window, ids[owner])
             lost = np.zeros(len(window), bool)
             lost[order] = ids[owner][order] > least
@@ -121,22 +124,22 @@ def _send(size: int, first: np.ndarray, splits: np.ndarray):
                 cut = np.flatnonzero(np.diff(group[sent])) + 1
                 for part in np.split(sent, cut):
                     docs, counts = np.unique(owner[part], return_counts=True)
-                    rows.append((int(group[part[0]]), ids[docs].tobytes(), keys[docs].tobytes(),
+                    rows.append((int(group[part[0]]), own, ids[docs].tobytes(), keys[docs].tobytes(),
                                  counts.astype(np.int64).tobytes(), window[part].tobytes(), _EMPTY))
             gone = np.flatnonzero(lost)
             if len(gone):
                 docs, counts = np.unique(owner[gone], return_counts=True)
-                rows.append((-1 - ((task << 24) | chunk), ids[docs].tobytes(), keys[docs].tobytes(),
+                rows.append((-1 - own, own, ids[docs].tobytes(), keys[docs].tobytes(),
                              counts.astype(np.int64).tobytes(), _EMPTY,
                              words.spread(np.bincount(owner))[gone].astype(np.int32).tobytes()))
-            names = ["group", "docs", "keys", "counts", "hashes", "places"]
             for low in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(names, row)) for row in rows[low:low + 64]],
-                    schema=pa.schema([("group", pa.int64())] + [(n, pa.binary()) for n in names[1:]]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, kind.type) for column, kind in zip(zip(*rows[low:low + 64]), _SENT)],
+                    schema=_SENT)
     return run
 
 
+_SENT = pa.schema([("group", pa.int64()), ("chunk", pa.int64())] + [(n, pa.binary()) for n in _PACKED])
 _LOST = pa.schema([("rank", pa.int64()), ("text_key", pa.int64()),
                    ("hashes", pa.binary()), ("places", pa.binary())])
 
@@ -146,22 +149,41 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _judge(part: pa.Table) -> pa.Table:
-    """The windows of one group that some smaller document has too, per document."""
-    docs, keys = _joined(part["docs"], np.int64), _joined(part["keys"], np.int64)
-    counts = _joined(part["counts"], np.int64)
+    """The windows of one group that some smaller document has too, packed per chunk."""
     if part["group"][0].as_py() < 0:
-        at = np.concatenate([[0], np.cumsum(counts)])
-        return pa.Table.from_arrays(
-            [pa.array(docs), pa.array(keys), pa.array([_EMPTY] * len(docs), pa.binary()),
-             words.blobs(_joined(part["places"], np.int32), at)], schema=_LOST)
-    window, owner = _joined(part["hashes"], np.uint64), np.repeat(np.arange(len(docs)), counts)
+        return part.drop_columns("group")
+    docs, keys = _joined(part["docs"], np.int64), _joined(part["keys"], np.int64)
+    counts, window = _joined(part["counts"], np.int64), _joined(part["hashes"], np.uint64)
+    owner = np.repeat(np.arange(len(docs)), counts)
     order, least = _least_of_runs(window, docs[owner])
     lost = np.sort(order[docs[owner][order] > least])
     losers, sizes = np.unique(owner[lost], return_counts=True)
+    row = np.repeat(np.arange(len(part)), [len(value.as_buffer()) // 8 for value in part["docs"]])
+    rows, first = np.unique(row[losers], return_index=True)
+    limits = np.append(first, len(losers))
+    return pa.Table.from_arrays(
+        [part["chunk"].take(pa.array(rows)), words.blobs(docs[losers], limits),
+         words.blobs(keys[losers], limits), words.blobs(sizes.astype(np.int64), limits),
+         words.blobs(window[lost], np.concatenate([[0], np.cumsum(sizes)])[limits]),
+         pa.array([_EMPTY] * len(rows), pa.binary())], ["chunk", *_PACKED])
+
+
+def _per_document(part: pa.Table) -> pa.Table:
+    """What all groups found in one chunk of text, a row per document."""
+    pairs = np.stack([_joined(part["docs"], np.int64), _joined(part["keys"], np.int64)], axis=1)
+    counts = _joined(part["counts"], np.int64)
+    own, which = np.unique(pairs, axis=0, return_inverse=True)
+    local = np.repeat([len(value.as_buffer()) > 0 for value in part["places"]],
+                      [len(value.as_buffer()) // 8 for value in part["docs"]])
+
+    def packed(values: np.ndarray, entries: np.ndarray) -> pa.Array:
+        owner = np.repeat(which[entries], counts[entries])
+        limits = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(own)))])
+        return words.blobs(values[np.argsort(owner, kind="stable")], limits)
+
     return pa.Table.from_arrays(
-        [pa.array(docs[losers]), pa.array(keys[losers]),
-         words.blobs(window[lost], np.concatenate([[0], np.cumsum(sizes)])),
-         pa.array([_EMPTY] * len(losers), pa.binary())], schema=_LOST)
+        [pa.array(own[:, 0]), pa.array(own[:, 1]), packed(_joined(part["hashes"], np.uint64), ~local),
+         packed(_joined(part["places"], np.int32), local)], schema=_LOST)
 
 
 def _cut(size: int):
@@ -236,9 +258,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         counts[code] = count
     first, splits = lay_out(counts, group_suffixes)
     lost = settle(source.select("rank", "text_key", "text")
-                  .mapInArrow(_send(min_words, first, splits), _PARTS)
-                  .groupBy("group").applyInArrow(
-                      _judge, "rank long, text_key long, hashes binary, places binary"))
+                  .mapInArrow(_send(min_words, first, splits), f"group long, {_BY_CHUNK}")
+                  .groupBy("group").applyInArrow(_judge, _BY_CHUNK)
+                  .groupBy("chunk").applyInArrow(
+                      _per_document, "rank long, text_key long, hashes binary, places binary"))
     per_document = settle(lost.groupBy("rank", "text_key").agg(
         F.collect_set(F.when(F.length("hashes") > 0, F.col("hashes"))).alias("hashes"),
         F.collect_set(F.when(F.length("places") > 0, F.col("places"))).alias("places")))
