@@ -8,7 +8,8 @@ taken out.
 
 Only hashes are counted in the first pass; chunk texts travel for repeated hashes alone.
 Counting and finding first occurrences combine before the shuffle, and the joins read
-written tables, so Spark can split the rows of a block that very many documents share.
+written tables, so Spark can split the rows of a block that very many documents share. Joins
+are merge joins at every size: one plan, whether few blocks repeat or many.
 """
 
 from __future__ import annotations
@@ -71,11 +72,11 @@ def repeated_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFra
                          F.xxhash64(F.col(text_column).cast("string")).alias("text_key"))
     pieces = _pieces(source)
     repeated = settle(pieces.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    candidates = settle(pieces.join(repeated, "hash", "left_semi"))
+    candidates = settle(pieces.join(repeated.hint("merge"), "hash", "left_semi"))
     owners = settle(candidates.groupBy("hash", "chunk").agg(F.min(_place()).alias("owner"),
                                                             F.count("*").alias("n"))
                     .where("n > 1").drop("n"))
-    gone = (candidates.join(owners, ["hash", "chunk"]).where(_place() != F.col("owner"))
+    gone = (candidates.join(owners.hint("merge"), ["hash", "chunk"]).where(_place() != F.col("owner"))
             .select(*_KEY, F.sequence("first", F.col("first") + F.col("size") - 1).alias("lines")))
     return settle(gone.groupBy(*_KEY).agg(F.flatten(F.collect_set("lines")).alias("gone")))
 
@@ -91,7 +92,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     gone = repeated_lines(docs, id_column, text_column).select(
         F.col("doc_id").alias("__dedup_id"), F.col("text_key").alias("__dedup_key"), F.col("gone").alias("__dedup_gone"))
     text = F.col(text_column).cast("string")
-    joined = docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("__dedup_id"))
+    joined = docs.join(gone.hint("merge"), F.col(id_column).cast("long").eqNullSafe(F.col("__dedup_id"))
                        & (F.xxhash64(text) == F.col("__dedup_key")), "left")
     cut = joined.withColumn("__dedup_lines", F.split(text, "\n"))
     rest = F.array_join(F.transform(
