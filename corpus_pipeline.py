@@ -35,7 +35,7 @@ def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near copies."""
     reach_workers(spark)
     dropped = settle(minhash.near_duplicates(docs).where("not kept").select("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

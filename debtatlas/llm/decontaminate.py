@@ -203,7 +203,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc
     """The rows of ``docs`` in which no item was found, all columns as they are."""
     hit = settle(matches(docs, benchmark, id_column, text_column).select(
         F.col("doc_id").alias("__found_id"), F.col("text_key").alias("__found_key")).distinct())
-    return docs.join(hit, F.col(id_column).cast("long").eqNullSafe(F.col("__found_id"))
+    return docs.join(hit.hint("merge"), F.col(id_column).cast("long").eqNullSafe(F.col("__found_id"))
                      & (F.xxhash64(F.col(text_column).cast("string")) == F.col("__found_key")), "left_anti")
 
 

@@ -120,7 +120,7 @@ def write_pages(pages: DataFrame, folder: str, id_column: str = "page_id", url_c
 
     system, root = _filesystem(folder)
     system.create_dir(root, recursive=True)
-    return settle(digested.join(copies, "digest", "left").select(
+    return settle(digested.join(copies.hint("merge"), "digest", "left").select(
         F.coalesce(name("id"), F.concat(F.lit("<urn:x-digest:"), "digest", F.lit(">"))).alias("record_id"),
         "url", "html",
         F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")),
