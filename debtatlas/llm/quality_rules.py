@@ -20,8 +20,7 @@ from .common import settle, table
 SAMPLE_ROWS = 2_000
 MIN_WORDS = 10
 REPEAT_WINDOW, REPEAT_PERCENT = 5, 20
-SYMBOLS = "#*$%&|<>"
-_WHITE = " \t\n\u000b\f\r"
+SYMBOLS = r"[#*$%&|<>]+"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,12 +37,12 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, _WHITE, "")).cast("long")
+def word_chars(text_words: Column) -> Column:
+    return F.length(F.array_join(text_words, "")).cast("long")
 
 
 def symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
 
 
 def repeated_lines(text_lines: Column) -> Column:
@@ -87,19 +86,32 @@ def stutters(text_words: Column) -> Column:
         F.get(text_words, i - 1) == word, F.lit(False))))
 
 
+class Text:
+    """A text with its words and lines, which all rules share."""
+
+    def __init__(self, text: Column, text_words: Column, text_lines: Column) -> None:
+        self.text, self.words, self.lines = text, text_words, text_lines
+
+
+def split_up(docs: DataFrame, text_column: str) -> tuple[DataFrame, Text]:
+    """``docs`` with the words and lines of every text beside it; NULL counts as empty."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    names = ("__text", "__words", "__lines")
+    return (docs.withColumn(names[0], text).withColumn(names[1], words(F.col(names[0])))
+            .withColumn(names[2], lines(F.col(names[0]))), Text(*map(F.col, names)))
+
+
 #: Rules beside the two of the base; each rejects where it is true.
-RULES: dict[str, Callable[[Column], Column]] = {
-    "symbols": lambda text: 100 * symbols(text) > 5 * word_chars(text),
-    "repeated_lines": lambda text: _let(lines(text), lambda x: 2 * repeated_lines(x) > F.size(x)),
-    "stutter": lambda text: _let(words(text), lambda x: 5 * stutters(x) > F.size(x)),
-    "few_letters": lambda text: (5 * F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-                                 < 2 * word_chars(text)),
-    "long_words": lambda text: _let(words(text), lambda x: word_chars(text) > 30 * F.size(x)),
+RULES: dict[str, Callable[[Text], Column]] = {
+    "symbols": lambda t: 100 * symbols(t.text) > 5 * word_chars(t.words),
+    "repeated_lines": lambda t: 2 * repeated_lines(t.lines) > F.size(t.lines),
+    "stutter": lambda t: 5 * stutters(t.words) > F.size(t.words),
+    "few_letters": lambda t: 5 * F.length(F.regexp_replace(t.text, r"[^\p{L}]+", "")) < 2 * word_chars(t.words),
+    "long_words": lambda t: word_chars(t.words) > 30 * F.size(t.words),
 }
-BASE_RULES: dict[str, Callable[[Column], Column]] = {
-    "few_words": lambda text: F.size(words(text)) < MIN_WORDS,
-    "repeats": lambda text: _let(words(text), lambda x: (
-        100 * repeated_words(x) > REPEAT_PERCENT * F.size(x))),
+BASE_RULES: dict[str, Callable[[Text], Column]] = {
+    "few_words": lambda t: F.size(t.words) < MIN_WORDS,
+    "repeats": lambda t: 100 * repeated_words(t.words) > REPEAT_PERCENT * F.size(t.words),
 }
 
 
@@ -108,19 +120,21 @@ def measure(docs: DataFrame, text_column: str, rules: dict) -> dict[str, tuple[f
     total = docs.count()
     if not total:
         return {name: (1.0, 0.0) for name in rules}
-    sample = settle(docs.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-                    .sample(fraction=min(1.0, SAMPLE_ROWS / total), seed=11).coalesce(1))
+    sample = settle(docs.select(F.col(text_column).cast("string").alias("text"))
+                    .sample(fraction=min(1.0, SAMPLE_ROWS / total), seed=11))
+    parts, text = split_up(sample, "text")
+    parts = settle(parts.coalesce(1))
 
     def run(rule: Column) -> tuple[float, float]:
         began = time.perf_counter()
-        share = sample.agg(F.avg(rule.cast("double"))).first()[0]
+        share = parts.agg(F.avg(rule.cast("double"))).first()[0]
         return time.perf_counter() - began, share or 0.0
 
     run(F.lit(False))
-    idle = run(F.length("text") < 0)[0]
+    idle = run(F.length(text.text) + F.size(text.words) + F.size(text.lines) < 0)[0]
     found = {}
     for name, rule in rules.items():
-        seconds, share = run(rule(F.col("text")))
+        seconds, share = run(rule(text))
         found[name] = (max(seconds - idle, 1e-3), share)
     return found
 
@@ -130,7 +144,7 @@ def in_order(measured: dict[str, tuple[float, float]]) -> list[str]:
     return sorted(measured, key=lambda name: (-measured[name][1] / measured[name][0], name))
 
 
-def first_rejection(text: Column, rules: dict, order: list[str]) -> Column:
+def first_rejection(text: Text, rules: dict, order: list[str]) -> Column:
     """Name of the first rule that rejects, NULL if none does."""
     found = F.lit(None).cast("string")
     for name in reversed(order):
@@ -146,8 +160,8 @@ def passing(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """
     rules = {**BASE_RULES, **RULES}
     order = in_order(measure(docs, text_column, rules))
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return docs.where(first_rejection(text, rules, order).isNull())
+    parts, text = split_up(docs, text_column)
+    return parts.where(first_rejection(text, rules, order).isNull()).select(*docs.columns)
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -159,21 +173,20 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     are ignored, an empty table gives no rows.
     """
     order = in_order(measure(docs, text_column, RULES))
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    parts = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", words(F.col("text")).alias("words"), lines(F.col("text")).alias("lines"))
+    parts, text = split_up(docs.select(F.col(id_column).alias("doc_id"),
+                                       F.col(text_column).alias("text")), "text")
     counted = parts.select(
-        "doc_id", "text", F.size("words").cast("long").alias("n_words"),
-        word_chars(F.col("text")).alias("word_chars"), symbols(F.col("text")).alias("n_symbols"),
-        repeated_lines(F.col("lines")).alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"))
+        "doc_id", text.text, text.words, text.lines, F.size(text.words).cast("long").alias("n_words"),
+        word_chars(text.words).alias("word_chars"), symbols(text.text).alias("n_symbols"),
+        repeated_lines(text.lines).alias("n_dup_lines"),
+        repeated_words(text.words).alias("n_repeat_words"))
     base = ((F.col("n_words") < MIN_WORDS)
             | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     judged = counted.withColumn("base_failed", base)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(
-            first_rejection(F.col("text"), RULES, order).isNull()).alias("kept"))
+            first_rejection(text, RULES, order).isNull()).alias("kept"))
 
 
 def op3_quality_rules(spark, folder: str) -> DataFrame:
