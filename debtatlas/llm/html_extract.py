@@ -40,7 +40,8 @@ _CLOSES_P = frozenset(
     "nav ol p pre section table ul".split())
 _TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",  # with a quote that never ends
     re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -70,7 +71,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag.start() > at:
             say(page[at:tag.start()])
         at = tag.end()
-        name = (tag.group(3) or "").lower()
+        closing, name, inside = tag.group(2, 3, 4) if tag.group(3) else tag.group(5, 6, 7)
+        name = (name or "").lower()
         if not name:
             continue
         if name == "br":
@@ -78,7 +80,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if name not in _INLINE:
             close()
-        if tag.group(2):
+        if closing:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == name:
                     links -= sum(open_tag == "a" for open_tag, _ in stack[n:])
@@ -95,7 +97,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 break
             if stack[n][0] not in _INLINE:
                 break
-        names = tuple("." + part for values in _NAMED.findall(tag.group(4) or "")
+        names = tuple("." + part for values in _NAMED.findall(inside or "")
                       for part in re.split(r"[^a-z0-9]+", "".join(values).lower()) if part)
         stack.append((name, names))
         links += name == "a"

@@ -22,7 +22,7 @@ def texts_of(page):
     ("<p>a<b>b</b>c <i>d</i>\n\n e<p>f", ["abc d e", "f"]),
     ("<script>var t='</p>';</script><style>p{}</style><p>x</p><!-- <p>no</p> --><title>t</title>", ["x"]),
     ("<p title='a>b'>q<br>r</p>", ["q r"]), ("<p>&lt;b&gt; &eacute;&#233;&#xe9; &nbsp;x", ["<b> ééé x"]),
-    ("<p>cut <a href='", ["cut"]), ("<p>open <script>never", ["open"]), ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]),
+    ("<p>cut <a href='", ["cut"]), ("<a title=\"x>link</a> y", ["link y"]), ("<p>open <script>never", ["open"]), ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]),
     ("</p></div>x<div>y", ["x", "y"]), ("<TABLE><TR><TD>1<TD>2</TABLE>", ["1", "2"]),
 ])
 def test_blocks(page, want):
@@ -31,7 +31,7 @@ def test_blocks(page, want):
 
 def test_paths_and_links():
     found = html_extract.blocks("<div class='Side-Bar x' id=q><p><a href=1>link</a> text</p></div><p>z")
-    assert found == [(("div", ".side", ".bar", ".x", ".q", "p"), "link text", 4), (("p",), "z", 0)]
+    assert found == [(("div", ".side", ".bar", ".x", ".q", "p", "a"), "link text", 4), (("p",), "z", 0)]
 
 
 def test_gradients_are_those_of_the_loss():
