@@ -160,8 +160,12 @@ def passing(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """
     rules = {**BASE_RULES, **RULES}
     order = in_order(measure(docs, text_column, rules))
-    parts, text = split_up(docs, text_column)
-    return parts.where(first_rejection(text, rules, order).isNull()).select(*docs.columns)
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    # bound inside the expression: a filter on a column of words would be moved below it, and
+    # the words would then be taken anew for every element that a rule looks at
+    parts = F.struct(text.alias("text"), words(text).alias("words"), lines(text).alias("lines"))
+    return docs.where(_let(parts, lambda t: first_rejection(
+        Text(t["text"], t["words"], t["lines"]), rules, order).isNull()))
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -170,7 +174,8 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     NULL texts count as empty; doc_id is carried as it is. The base is judged from the counts;
     the other rules are tried, in measured order, only for texts that pass it. Other columns
-    are ignored, an empty table gives no rows.
+    are ignored, an empty table gives no rows. Write the result before filtering by its
+    columns, or use ``passing``: Spark would move such a filter below the split into words.
     """
     order = in_order(measure(docs, text_column, RULES))
     parts, text = split_up(docs.select(F.col(id_column).alias("doc_id"),
