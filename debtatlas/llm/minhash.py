@@ -6,11 +6,12 @@ sequence (optimal densification). Buckets: some bins make a band, equal bands me
 Edges: the least member of a bucket is its centre, and only (centre, member) pairs are
 compared, on full shingle sets. A bucket whose members these links do not bring into one
 component is dealt again, all of it, by ``SHARPER`` bands, where pairs that are unlike
-hardly meet and like ones meet without the old centre; what is unlike its centre even there
-meets around new centres until none is left. So links aside of a centre are found, and the
-pairs of a bucket are never listed. Documents with equal sets are one class before all
-this. Bands have as many bins as a chance of ``MISS`` to overlook a pair right at the
-threshold allows: 5 at a similarity of 0.85, 4 at 0.8, and 16 and 11 when dealt again.
+hardly meet. There members meet one centre, then ``TAIL_CENTRES``, and in buckets that are
+still open every pair of members in two components is compared, so links aside of a centre
+are found; pairs inside a bucket's largest component are never listed. Documents with equal
+sets are one class before all this. Bands have as many bins as a chance of ``MISS`` to
+overlook a pair right at the threshold allows: 5 at a similarity of 0.85, 4 at 0.8, and 16
+and 11 when dealt again.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .components import components
 BANDS, SHARPER = 24, 150
 #: Chance that a pair right at the threshold shares no bucket.
 MISS = 1e-5
-#: Centres of a bucket that is still open after that, so many times more in each round.
+#: Centres of a bucket that is still open after that, before all its members meet.
 TAIL_CENTRES = 8
 _VALUE_BITS = 40
 _SEED, _PROBES, _BAND = words.numbered(3, 41)
@@ -204,6 +205,28 @@ def _around(rows: DataFrame, per_bucket: int) -> DataFrame:
                   .where("component != centre_component").select("bucket", "centre", "member"))
 
 
+def _still_open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are in several components."""
+    open_buckets = settle(rows.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open"))
+                          .where("open").select("bucket"))
+    return settle(rows.join(open_buckets, "bucket", "left_semi"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """(bucket, centre, member) for all members of a bucket that are in two components.
+
+    Members outside the bucket's largest component are the centres, so no pair is missed
+    and the pairs inside that component are never listed.
+    """
+    largest = settle(rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+                     .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"))
+                     .select("bucket", F.col("most.component").alias("largest")))
+    centres = settle(rows.join(largest, "bucket").where("component != largest").select(
+        "bucket", F.col("member").alias("centre"), F.col("component").alias("centre_component")))
+    return settle(rows.join(centres, "bucket")
+                  .where("component != centre_component").select("bucket", "centre", "member"))
+
+
 def _components(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the class representatives that have a verified link."""
     sizes = reps.select("member", "n")
@@ -238,23 +261,19 @@ def _components(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) ->
     # all members of a bucket that is not one component yet, linked to its centre or not
     rows = named(meeting.select("bucket", "member").union(
         meeting.select("bucket", F.col("centre").alias("member")).distinct()), nodes)
-    unsure = settle(rows.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open"))
-                    .where("open").select("bucket"))
-    dealt = settle(rows.join(unsure, "bucket", "left_semi").select("member", "component").distinct()
+    dealt = settle(_still_open(rows).select("member", "component").distinct()
                    .join(sets.toDF("member", "sets"), "member")
                    .mapInArrow(_resign(rows_per_band(SHARPER, percent), SHARPER), "member long, component long, bands array<long>")
                    .select("member", "component", F.explode("bands").alias("bucket")))
-    meeting, per_bucket = _around(dealt, 1), TAIL_CENTRES
-    while not meeting.isEmpty():
+    # who is linked to a centre may still be the only link of another member, so all stay
+    for meet in (lambda rows: _around(rows, 1), lambda rows: _around(rows, TAIL_CENTRES), _apart):
+        dealt = _still_open(named(dealt.select("member", "bucket"), nodes))
+        meeting = meet(dealt)
+        if meeting.isEmpty():
+            break
         found.append(judge(meeting))
         if not found[-1].isEmpty():
             nodes = components(reduce(DataFrame.union, found))
-        # who is like no centre so far meets the others of the bucket around new centres
-        linked = found[-1].union(found[-1].select("member", "centre"))
-        placed = (meeting.join(linked, ["centre", "member"], "left_semi").select("bucket", "member")
-                  .union(meeting.select("bucket", "centre")).distinct())
-        rest = meeting.select("bucket", "member").distinct().join(placed, ["bucket", "member"], "left_anti")
-        meeting, per_bucket = _around(named(rest, nodes), per_bucket), per_bucket * TAIL_CENTRES
     return nodes
 
 

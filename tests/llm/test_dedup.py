@@ -66,6 +66,21 @@ def test_a_chain_around_a_dissimilar_centre_is_one_component(frame):
     assert set(got.values()) == {1}
 
 
+def test_a_link_to_a_member_that_is_no_centre_is_found(frame):
+    """30 edited copies around a base that has not the least id; one text is linked to the base alone."""
+    base = prose(21, 200).split()
+
+    def edited(places, word):
+        return " ".join(word + str(n) if n in places else w for n, w in enumerate(base))
+
+    rows = [(n, edited((6 * n, 6 * n + 3), f"copy{n}x")) for n in range(1, 31)]
+    rows += [(50, " ".join(base)), (60, edited((10, 50, 90, 130, 170), "far"))]
+    sets = {i: {tuple(w[n:n + 3]) for n in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    assert [i for i in sets if i != 60 and 100 * len(sets[i] & sets[60]) >= 85 * len(sets[i] | sets[60])] == [50]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(rows), shingle=3, percent=85).collect()}
+    assert got == {i: 1 for i in sets}
+
+
 def test_query_over_documents_equals_brute_force(spark):
     folder = SMALL
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
