@@ -6,6 +6,11 @@ stands, from its second line on. Chunks of several lines whose hash occurs more
 are compared byte for byte, and all but the first occurrence (least doc_id, then place) are
 taken out.
 
+Chunks miss a block whose ends do not fall on theirs. The pipeline takes ``pairs`` instead:
+every two neighbouring lines are a piece, and since each pair inside a repeated run is itself
+repeated, what they cover is the whole run. ``op5_line_dedup`` keeps to the chunks, which its
+statement ``OP5_SQL`` sets down.
+
 Only hashes are counted in the first pass; chunk texts travel for repeated hashes alone.
 Counting and finding first occurrences combine before the shuffle, and the joins read
 written tables, so Spark can split the rows of a block that very many documents share. Joins
@@ -22,6 +27,7 @@ from .common import settle, table
 #: One line in so many ends a chunk.
 DIVISOR = 3
 _KEY = ["doc_id", "text_key"]
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _let(value: Column, body) -> Column:
@@ -49,14 +55,24 @@ def chunks(text_lines: Column) -> Column:
     return _let(_let(F.transform(text_lines, line_hash), ends), cut)
 
 
-def _pieces(docs: DataFrame) -> DataFrame:
-    """A row per chunk of several lines that has a word, with its text."""
+def pairs(text_lines: Column) -> Column:
+    """(first line, number of lines) of every two lines with a word that only blank ones part."""
+    def spans(at: Column) -> Column:
+        return F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda last, k: F.struct(
+            F.get(at, k).alias("first"), (last - F.get(at, k) + 1).alias("size")))
+
+    return _let(F.filter(F.sequence(F.lit(0), F.size(text_lines) - 1),
+                         lambda i: F.get(text_lines, i).rlike(_WORD)), spans)
+
+
+def _pieces(docs: DataFrame, pieces_of) -> DataFrame:
+    """A row per piece of several lines that has a word, with its text."""
     cut = docs.select(*_KEY, F.split("text", "\n").alias("lines")).select(
-        *_KEY, "lines", F.filter(chunks(F.col("lines")), lambda c: c["size"] > 1).alias("chunks"))
+        *_KEY, "lines", F.filter(pieces_of(F.col("lines")), lambda c: c["size"] > 1).alias("chunks"))
     return cut.select(*_KEY, F.explode(F.transform("chunks", lambda c: F.struct(
         c["first"].alias("first"), c["size"].alias("size"),
         F.array_join(F.slice("lines", c["first"] + 1, c["size"]), "\n").alias("chunk")))).alias("c")
-    ).select(*_KEY, "c.*").where(F.col("chunk").rlike(r"[^\x20\x09-\x0D]")).withColumn(
+    ).select(*_KEY, "c.*").where(F.col("chunk").rlike(_WORD)).withColumn(
         "hash", F.xxhash64("chunk"))
 
 
@@ -65,31 +81,40 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first")
 
 
-def repeated_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, text_key, lines): numbers of the lines to take out, a row per document."""
+def repeated_lines(docs: DataFrame, id_column: str, text_column: str, pieces_of=chunks) -> DataFrame:
+    """(doc_id, text_key, lines): numbers of the lines to take out, a row per document.
+
+    A piece that overlaps its own first occurrence stays.
+    """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"),
                          F.col(text_column).cast("string").alias("text"),
                          F.xxhash64(F.col(text_column).cast("string")).alias("text_key"))
-    pieces = _pieces(source)
+    pieces = _pieces(source, pieces_of)
     repeated = settle(pieces.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     candidates = settle(pieces.join(repeated.hint("merge"), "hash", "left_semi"))
     owners = settle(candidates.groupBy("hash", "chunk").agg(F.min(_place()).alias("owner"),
                                                             F.count("*").alias("n"))
                     .where("n > 1").drop("n"))
-    gone = (candidates.join(owners.hint("merge"), ["hash", "chunk"]).where(_place() != F.col("owner"))
+    overlaps = (F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("text_key") == F.col("owner.text_key"))
+                & (F.col("first") < F.col("owner.first") + F.col("size")))
+    gone = (candidates.join(owners.hint("merge"), ["hash", "chunk"]).where(~overlaps)
             .select(*_KEY, F.sequence("first", F.col("first") + F.col("size") - 1).alias("lines")))
-    return settle(gone.groupBy(*_KEY).agg(F.flatten(F.collect_set("lines")).alias("gone")))
+    return settle(gone.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone")))
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                    pieces_of=chunks) -> DataFrame:
     """All rows and columns of ``docs``, the text without repeated chunks, and n_lines and
     n_removed_lines beside it.
 
+    With ``pieces_of=pairs`` all lines of every run of two or more lines with a word that
+    stands earlier are taken out, whatever is around it.
+
     A NULL text stays NULL and has no lines; an empty text is one empty line. Rows that share
     doc_id and text are one document and keep or lose the same lines. Rows without a doc_id
     come after all others. A text may become empty. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, id_column, text_column).select(
+    gone = repeated_lines(docs, id_column, text_column, pieces_of).select(
         F.col("doc_id").alias("__dedup_id"), F.col("text_key").alias("__dedup_key"), F.col("gone").alias("__dedup_gone"))
     text = F.col(text_column).cast("string")
     joined = docs.join(gone.hint("merge"), F.col(id_column).cast("long").eqNullSafe(F.col("__dedup_id"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as registered
+import corpus_pipeline
 from compare import difference
 from debtatlas.llm import line_dedup, minhash, substring, words
 from corpora import corpus, prose
@@ -173,6 +174,45 @@ def test_line_query_equals_its_statement(spark):
     assert difference(spark, "op5_line_dedup", SMALL) is None
 
 
+def without_runs(rows):
+    """Lines of runs of two or more lines with a word that stand earlier, outside of the run itself."""
+    texts = {i: text.split("\n") for i, text in rows}
+    lines = {i: [n for n, line in enumerate(t) if line.split()] for i, t in texts.items()}
+    gone = {i: set() for i in texts}
+    before = []
+    for i in sorted(texts):
+        at, before = lines[i], before + [i]
+        for low in range(len(at)):
+            for high in range(low + 1, min(low + 6, len(at))):
+                run = texts[i][at[low]:at[high] + 1]
+                for j in before:
+                    for first in lines[j]:
+                        if (j < i or first + len(run) <= at[low]) and texts[j][first:first + len(run)] == run:
+                            gone[i].update(range(at[low], at[high] + 1))
+    return {i: (len(gone[i]), "\n".join(x for n, x in enumerate(t) if n not in gone[i])) for i, t in texts.items()}
+
+
+def test_blocks_of_two_to_six_lines_go_in_any_context(spark, frame):
+    blocks = [[f"block {size} line {n} of it" for n in range(size)] for size in range(2, 7)]
+    blocks[2][1] = ""
+    rows = []
+    for doc in range(12):
+        text = [f"own {doc} start", "menu"]
+        for n, block in enumerate(blocks):
+            text += block + [f"own {doc} after {n}"] + ["", "menu"] * (doc % 2)
+        rows.append((doc, "\n".join(text)))
+    rows += [(20, "same\nsame\nsame"), (21, "x y\nz\nx y\nz\nx y\nz")]
+    got = line_dedup.without_repeats(frame(rows), pieces_of=line_dedup.pairs).collect()
+    want = without_runs(rows)
+    assert {r.doc_id: (r.n_removed_lines, r.text) for r in got} == want
+    assert all(want[doc][0] >= 20 for doc in range(1, 12)) and want[20][1] == "same\nsame\nsame"
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i, text in rows], columns)
+    assert line_dedup.without_repeats(frame(corpus()), pieces_of=line_dedup.pairs).count() == len(corpus())
+    cut = corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in cut} == {i: text for i, (_, text) in want.items() if text.split()}
+
+
 @pytest.mark.parametrize("run", [
     minhash.near_duplicates, substring.remove_repeats, line_dedup.without_repeats])
 def test_empty_table(frame, run):
