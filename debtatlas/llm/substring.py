@@ -1,13 +1,12 @@
-"""Repeated passages across documents, by prefix-partitioned suffix trees.
+"""Repeated passages across documents, by hashes of windows in prefix groups.
 
 Only suffixes of at least ``min_words`` words matter, and of each only its first
 ``min_words`` words: a deeper repeat is a run of consecutive repeated windows. One pass
 counts suffixes per hashed prefix of three words, a table of fixed size. Prefixes are laid
 out in order: neighbours share a group until it is full, and a prefix that is too common
-for one group is split by the words that follow. Each group then fits one task, which
-sorts its suffixes into a depth-limited subtree; nodes at depth ``min_words`` with leaves
-from several documents are the repeats, and every leaf but those of the least document
-loses its window. What groups find goes back to the chunk of text it came from, and from
+for one group is split by the hash of the window. Each group then fits one task, which
+sorts the 64-bit hashes of its windows; hashes that several documents have are the repeats,
+and every document but the least loses its window. No suffix tree is built. What groups find goes back to the chunk of text it came from, and from
 there to its documents, so a document is not listed once per group.
 
 Before suffixes are sent, a task drops those whose window it has already seen in a smaller
