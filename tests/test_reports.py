@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import REPORT_SQL
 from debtatlas.functions import labels
 from debtatlas.operators import distribution, pareto, quality, segments
 from debtatlas.plans.reports import REPORTS
+from rolls import REPORT_SQL
 
 COMPANY = "{:02d}.000.00{}/000{}-00"
 
