@@ -12,11 +12,14 @@ at the few cells that matter, where equal amounts count as one row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from debtatlas.functions.money import MONEY, WIDE_MONEY
+from debtatlas.session import settle
 
 CELLS_PER_OCTAVE = 1024
 MAX_CELLS = 2 * 60 * CELLS_PER_OCTAVE + 2
@@ -76,6 +79,55 @@ def amounts_in(rows: DataFrame, value: str, cells: DataFrame, on: Sequence[str])
             .agg(F.count(F.lit(1)).alias("n_valor")))
 
 
+class Handful:
+    """A few rows per label of a closed list, computed now and kept in the plan itself.
+
+    What is looked up in it needs no join, and its cells can be tested on the amount alone,
+    so labels are worked out only for the rows that pass.
+    """
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.schema, self.columns = rows.schema, rows.columns
+        self.rows = rows.collect()
+
+    def holds(self, cell: Column) -> Column:
+        return cell.isin(sorted({row.cell for row in self.rows}))
+
+    def attach(self, rows: DataFrame, on: Sequence[str]) -> DataFrame:
+        """``rows`` with the other columns, once for each row here that agrees in ``on``."""
+        kind = f"array<{self.schema.simpleString()}>"
+        known = F.array(*[F.struct(*[F.lit(row[c]).alias(c) for c in self.columns])
+                          for row in self.rows]).cast(kind)
+
+        def agrees(row: Column) -> Column:
+            return reduce(and_, [row[c].eqNullSafe(F.col(c)) for c in on], F.lit(True))
+
+        others = [c for c in self.columns if c not in on]
+        found = F.explode(F.filter(known, agrees)).alias("found")
+        return rows.select("*", found).select(*rows.columns, *[F.col(f"found.{c}") for c in others])
+
+
+def amounts_and_documents(rows: DataFrame, value: str, document: str, wanted: Column,
+                          by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Two answers from one scan: how often each amount of the ``wanted`` rows stands, per
+    group and cell (``n_valor``), and how many documents there are (one row).
+
+    Every row sends its document, wanted ones also (group, cell, amount); tasks combine
+    equal ones, so what is shuffled is documents and a few amounts.
+    """
+    amount = F.col(value)
+    part = F.struct(*by, cell_of(amount).alias("cell"), amount.alias("valor"))
+    own = F.struct(F.col(document).alias("documento"), F.when(F.lit(False), part).alias("parte"))
+    sent = F.when(wanted, F.array(own, F.struct(F.lit(None).cast("string").alias("documento"),
+                                                part.alias("parte")))).otherwise(F.array(own))
+    found = settle(rows.select(F.inline(sent))
+                   .groupBy("documento", "parte").agg(F.count(F.lit(1)).alias("n"))
+                   .groupBy("parte").agg(F.sum("n").alias("n_valor"),
+                                         F.count("documento").alias("documentos")))
+    return (found.filter(F.col("parte").isNotNull()).select("parte.*", "n_valor"),
+            found.agg(F.coalesce(F.sum("documentos"), F.lit(0)).alias("documentos")))
+
+
 # --- medians ----------------------------------------------------------------------------
 
 def middle_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -121,9 +173,16 @@ def median_of(middle_amounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def exact_median(rows: DataFrame, value: str, cells: DataFrame,
                  by: Sequence[str] = ()) -> DataFrame:
-    """Median of ``value`` per group, given the cell totals of the same rows."""
-    middles = middle_cells(cells, by)
-    return median_of(amounts_in(rows, value, middles, [*by, "cell"]), by)
+    """Median of ``value`` per group, given the cell totals of the same rows.
+
+    Groups come from closed lists, and each has one or two middle cells.
+    """
+    middles = Handful(middle_cells(cells, by))
+    amount = F.col(value)
+    amounts = (rows.filter(middles.holds(cell_of(amount)))
+               .groupBy(*by, cell_of(amount).alias("cell"), amount.alias("valor"))
+               .agg(F.count(F.lit(1)).alias("n_valor")))
+    return median_of(middles.attach(amounts, [*by, "cell"]), by)
 
 
 # --- standings ----------------------------------------------------------------------------

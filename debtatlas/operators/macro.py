@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from debtatlas.functions.money import MONEY, WIDE_MONEY, mean, ratio, ratio_percent, round2
-from debtatlas.operators.distribution import cell_totals, exact_median
+from debtatlas.operators.distribution import (
+    Handful, amounts_and_documents, cell_of, cell_totals, median_of, middle_cells)
 from debtatlas.session import settle
 
 SELECTED = "valor_divida_selecionada"
 
 
+def moments() -> list[Column]:
+    """What the bounds and the spread take from each part of the roll."""
+    amount = F.col(SELECTED)
+    return [F.min(amount).alias("menor"), F.avg(amount.cast("double")).alias("media"),
+            F.var_pop(amount).alias("variancia")]
+
+
 def macro_metrics(silver: DataFrame) -> DataFrame:
     """Counts, sums, share, mean, median, bounds and spread of the whole roll.
 
-    One pass takes totals per cell, from which all but two columns follow; the
-    spread is put together from the spread within cells and between their means.
-    The median looks once more at its own cell, and distinct documents are counted
-    apart, so that only documents are shuffled.
+    One pass takes totals per cell, from which all but two columns follow. A second one
+    sends the documents, to be counted once each, and the amounts of the median's cell.
     """
-    amount = F.col(SELECTED)
-    cells = settle(cell_totals(silver, SELECTED, carry=["valor_total"], extra=[
-        F.min(amount).alias("menor"), F.avg(amount.cast("double")).alias("media"),
-        F.var_pop(amount).alias("variancia")]))
-    median = exact_median(silver, SELECTED, cells)
-    documents = silver.agg(F.count_distinct("cpf_cnpj").alias("devedores_unicos"))
+    cells = settle(cell_totals(silver, SELECTED, carry=["valor_total"], extra=moments()))
+    middles = Handful(middle_cells(cells))
+    amounts, documents = amounts_and_documents(
+        silver, SELECTED, "cpf_cnpj", middles.holds(cell_of(F.col(SELECTED))))
+    return macro_report(cells, documents, median_of(middles.attach(amounts, ["cell"])))
+
+
+def macro_report(cells: DataFrame, documents: DataFrame, median: DataFrame) -> DataFrame:
+    """The one row from totals of the roll's parts; the spread is put together from the
+    spread within the parts and between their means."""
     everything = Window.partitionBy()
     total_mean = (F.sum(F.col("com_valor") * F.col("media")).over(everything)
                   / F.sum("com_valor").over(everything))

@@ -26,14 +26,22 @@ def sliced(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
                   .withColumn(SLICE, F.spark_partition_id()))
 
 
-def position_within(rows: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
-    """Add ``position``: 1, 2, ... per value of ``by`` in ``order``; NULL is a value.
+def _ordered(key: Sequence[str]) -> Column:
+    """The key as one value that sorts column by column, NULL first."""
+    return F.struct(*[part for place, name in enumerate(key) for part in (
+        F.col(name).isNotNull().alias(f"known_{place}"), F.col(name).alias(f"key_{place}"))])
+
+
+def position_within(rows: DataFrame, by: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Add ``position``: 1, 2, ... per value of the key ``by`` in ``order``; NULL is a value of
+    each of its columns.
 
     Inside a slice rows are numbered per key. Only the first key of a slice can have begun
     before it, so what lies ahead takes two counts per slice: those of its outermost keys.
     """
-    cut = sliced(rows, [F.asc_nulls_first(by), *order])
-    key = F.struct(F.col(by).isNotNull().alias("known"), F.col(by).alias("key"))
+    by = [by] if isinstance(by, str) else list(by)
+    cut = sliced(rows, [*(F.asc_nulls_first(name) for name in by), *order])
+    key = _ordered(by)
     edges = cut.groupBy(SLICE).agg(F.min(key).alias("lowest"), F.max(key).alias("highest"))
     outer = (cut.select(SLICE, key.alias("key")).join(F.broadcast(edges), SLICE)
              .filter("key <=> lowest or key <=> highest")
@@ -41,7 +49,7 @@ def position_within(rows: DataFrame, by: str, order: Sequence[Column]) -> DataFr
     earlier = Window.partitionBy("key").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     ahead = outer.select(F.col(SLICE).alias("of_slice"), F.col("key").alias("of_key"),
                          F.sum("n").over(earlier).alias("ahead")).filter("ahead > 0")
-    here = Window.partitionBy(SLICE, by).orderBy(*order, SERIAL)
+    here = Window.partitionBy(SLICE, *by).orderBy(*order, SERIAL)
     return (cut
             .withColumn("position", F.row_number().over(here).cast("long"))
             .join(F.broadcast(ahead),

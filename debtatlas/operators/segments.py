@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,19 +19,44 @@ SELECTED = "valor_divida_selecionada"
 TOTAL = "valor_total"
 
 
-def summarise(cells: DataFrame, medians: DataFrame, label: str,
-              extra: Sequence[Column] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Measure:
+    """A money column to summarise, and the ending of the names of its results."""
+
+    column: str
+    ending: str
+
+
+FGTS, UNION = Measure(SELECTED, "fgts"), Measure(TOTAL, "uniao")
+#: Which measure a row of stacked amounts belongs to.
+MEASURE = "medida"
+
+
+def summarise(cells: DataFrame, medians: DataFrame, label: str, extra: Sequence[Column] = (),
+              measures: Sequence[Measure] = (FGTS,)) -> DataFrame:
     """Counts, sums, means and shares per label from totals of its parts.
 
     ``label`` has a short closed list of outcomes, so joining the medians and taking
-    shares handles a few rows.
+    shares handles a few rows. With several measures the parts say in ``medida`` which one
+    they are of; rows are counted once.
     """
+    first, several = measures[0], len(measures) > 1
+
+    def of(measure: Measure, column: str) -> Column:
+        return F.when(F.col(MEASURE) == measure.ending, F.col(column)) if several else F.col(column)
+
     groups = cells.groupBy(label).agg(
-        F.sum("n").alias("total_devedores"),
-        F.sum("soma").cast(WIDE_MONEY).alias("montante_fgts"),
-        F.sum("com_valor").alias("com_valor"),
-        F.max("maior").cast(MONEY).alias("maior_divida_fgts"),
+        F.sum(of(first, "n")).alias("total_devedores"),
+        *[part for m in measures for part in (
+            F.sum(of(m, "soma")).cast(WIDE_MONEY).alias(f"montante_{m.ending}"),
+            F.sum(of(m, "com_valor")).alias(f"com_valor_{m.ending}"),
+            F.max(of(m, "maior")).cast(MONEY).alias(f"maior_divida_{m.ending}"))],
         *extra)
+    if several:
+        medians = medians.groupBy(label).agg(
+            *[F.max(of(m, "mediana")).alias(f"mediana_{m.ending}") for m in measures])
+    else:
+        medians = medians.withColumnRenamed("mediana", f"mediana_{first.ending}")
     everyone = Window.partitionBy()
 
     def share(column: str) -> Column:
@@ -38,19 +64,41 @@ def summarise(cells: DataFrame, medians: DataFrame, label: str,
 
     return (groups
             .join(F.broadcast(medians), label, "left")
-            .withColumn("pct_devedores", share("total_devedores"))
-            .withColumn("pct_montante_fgts", share("montante_fgts"))
-            .withColumn("ticket_medio_fgts", mean(F.col("montante_fgts"), F.col("com_valor")))
-            .withColumnRenamed("mediana", "mediana_fgts"))
+            .withColumns({"pct_devedores": share("total_devedores")} | {
+                name: value for m in measures for name, value in (
+                    (f"pct_montante_{m.ending}", share(f"montante_{m.ending}")),
+                    (f"ticket_medio_{m.ending}",
+                     mean(F.col(f"montante_{m.ending}"), F.col(f"com_valor_{m.ending}"))))})
+            .drop(*[f"com_valor_{m.ending}" for m in measures]))
+
 
+def _stacked(rows: DataFrame, label: str, measures: Sequence[Measure]) -> DataFrame:
+    """A row per record and measure: label, ``medida``, ``valor``."""
+    return rows.select(label, F.inline(F.array(*[
+        F.struct(F.lit(m.ending).alias(MEASURE), F.col(m.column).alias("valor"))
+        for m in measures])))
 
-def segment_summary(rows: DataFrame, label: str, carry: Sequence[str] = ()) -> DataFrame:
+
+def segment_summary(rows: DataFrame, label: str, carry: Sequence[str] = (),
+                    measures: Sequence[Measure] = (FGTS,),
+                    order: Sequence[Column] = ()) -> DataFrame:
     """Summary of labelled rows in two passes that shuffle a few thousand rows each:
-    totals per label and cell, then the amounts in the cells of the medians."""
-    cells = settle(cell_totals(rows, SELECTED, by=[label], carry=carry))
-    medians = exact_median(rows, SELECTED, cells, [label])
-    return summarise(cells, medians, label,
-                     [F.sum(c).cast(WIDE_MONEY).alias(c) for c in carry])
+    totals per label and cell, then the amounts in the cells of the medians.
+
+    Several measures are stacked, so that both passes serve all of them; ``carry`` names
+    columns of which only the sum is wanted. NULL amounts count as rows and in no statistic.
+    """
+    if len(measures) > 1:
+        values, value, by = _stacked(rows, label, measures), "valor", [label, MEASURE]
+        if carry:
+            raise ValueError("sums of further columns come with one measure only")
+    else:
+        values, value, by = rows, measures[0].column, [label]
+    cells = settle(cell_totals(values, value, by=by, carry=carry))
+    medians = exact_median(values, value, cells, by)
+    summary = summarise(cells, medians, label,
+                        [F.sum(c).cast(WIDE_MONEY).alias(c) for c in carry], measures)
+    return summary.orderBy(*order) if order else summary
 
 
 # --- persons and companies -------------------------------------------------------
@@ -61,14 +109,18 @@ def entity_rows(silver: DataFrame) -> DataFrame:
         entity_type(F.col("cpf_cnpj")).alias("tipo_pessoa"))
 
 
-def entity_summary(silver: DataFrame) -> DataFrame:
-    return (segment_summary(entity_rows(silver), "tipo_pessoa")
+def entity_report(summary: DataFrame) -> DataFrame:
+    return (summary
             .select("tipo_pessoa", "total_devedores", "pct_devedores", "montante_fgts",
                     "pct_montante_fgts", "ticket_medio_fgts", "mediana_fgts",
                     "maior_divida_fgts")
             .orderBy(F.desc("montante_fgts")))
 
 
+def entity_summary(silver: DataFrame) -> DataFrame:
+    return entity_report(segment_summary(entity_rows(silver), "tipo_pessoa"))
+
+
 # --- selected debt against total debt ---------------------------------------------
 
 def debt_profile_rows(silver: DataFrame) -> DataFrame:
@@ -79,14 +131,24 @@ def debt_profile_rows(silver: DataFrame) -> DataFrame:
         debt_profile(selected, total).alias("perfil_divida"))
 
 
-def profile_summary(silver: DataFrame) -> DataFrame:
-    return (segment_summary(debt_profile_rows(silver), "perfil_divida", carry=[TOTAL])
+def profile_report(summary: DataFrame) -> DataFrame:
+    return (summary
             .select("perfil_divida", "total_devedores", "pct_devedores", "montante_fgts",
                     "pct_montante_fgts", F.col(TOTAL).alias("montante_uniao"),
                     "ticket_medio_fgts", "mediana_fgts")
             .orderBy("perfil_divida"))
 
 
+def profile_summary(silver: DataFrame) -> DataFrame:
+    return profile_report(segment_summary(debt_profile_rows(silver), "perfil_divida", carry=[TOTAL]))
+
+
+def profile_measures(silver: DataFrame) -> DataFrame:
+    """The cohorts by selected and by total debt: every statistic, medians too, of both."""
+    return segment_summary(debt_profile_rows(silver), "perfil_divida", measures=[FGTS, UNION],
+                           order=[F.col("perfil_divida")])
+
+
 # --- public and private sector -----------------------------------------------------
 
 def sector_rows(silver: DataFrame) -> DataFrame:
@@ -96,8 +158,8 @@ def sector_rows(silver: DataFrame) -> DataFrame:
         .alias("esfera_institucional"))
 
 
-def sector_summary(silver: DataFrame) -> DataFrame:
-    return (segment_summary(sector_rows(silver), "esfera_institucional", carry=[TOTAL])
+def sector_report(summary: DataFrame) -> DataFrame:
+    return (summary
             .select("esfera_institucional", "total_devedores", "pct_devedores",
                     "montante_fgts", "pct_montante_fgts",
                     F.col(TOTAL).alias("montante_uniao"), "ticket_medio_fgts",
@@ -105,6 +167,16 @@ def sector_summary(silver: DataFrame) -> DataFrame:
             .orderBy(F.desc("montante_fgts")))
 
 
+def sector_summary(silver: DataFrame) -> DataFrame:
+    return sector_report(segment_summary(sector_rows(silver), "esfera_institucional", carry=[TOTAL]))
+
+
+def sector_measures(silver: DataFrame) -> DataFrame:
+    """Both sectors by selected and by total debt, largest total debt first."""
+    return segment_summary(sector_rows(silver), "esfera_institucional", measures=[FGTS, UNION],
+                           order=[F.desc_nulls_last("montante_uniao")])
+
+
 def sector_median_ratio(silver: DataFrame) -> DataFrame:
     """How many times the public median exceeds the private one: one row."""
     summary = segment_summary(sector_rows(silver), "esfera_institucional")
