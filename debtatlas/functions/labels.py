@@ -3,10 +3,11 @@ closed list of outcomes, so every report has a handful of groups at any scale.""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from debtatlas.functions.documents import (
@@ -65,11 +66,38 @@ def debt_profile(selected: Column, total: Column) -> Column:
             .otherwise(PROFILE_RESIDUAL))
 
 
-def _contains_any(text: Column, fragments: tuple[str, ...]) -> Column:
-    return reduce(or_, [text.ilike(f"%{fragment}%") for fragment in fragments])
+#: (column, fragment) of every pattern, in the order of the fixed values above.
+PUBLIC_PATTERNS = (*(("nome_devedor", fragment) for fragment in PUBLIC_NAME_FRAGMENTS),
+                   *(("nome_fantasia", fragment) for fragment in PUBLIC_TRADE_NAME_FRAGMENTS))
+
+
+def matches_any(texts: Mapping[str, Column], patterns: Sequence[tuple[str, str]]) -> Column:
+    """Whether a text holds a fragment listed for it, without regard to case.
+
+    One matcher per text, whose fragments are lower-cased beforehand. ``texts`` should be
+    columns that hold the lower-cased text (see ``with_institutional_sector``), so that
+    it is worked out once a row. Other than a regular expression over all fragments, which took
+    half as long again on 8 million names, this stays in generated code.
+    """
+    fragments: dict[str, list[str]] = {}
+    for name, fragment in patterns:
+        fragments.setdefault(name, []).append(fragment.lower())
+    return reduce(or_, [texts[name].contains(fragment)
+                        for name, listed in fragments.items() for fragment in listed])
+
+
+def _sector(texts: Mapping[str, Column]) -> Column:
+    return F.when(matches_any(texts, PUBLIC_PATTERNS), PUBLIC_SECTOR).otherwise(PRIVATE_SECTOR)
 
 
 def institutional_sector(name: Column, trade_name: Column) -> Column:
-    public = (_contains_any(name, PUBLIC_NAME_FRAGMENTS)
-              | _contains_any(trade_name, PUBLIC_TRADE_NAME_FRAGMENTS))
-    return F.when(public, PUBLIC_SECTOR).otherwise(PRIVATE_SECTOR)
+    return _sector({"nome_devedor": F.lower(name), "nome_fantasia": F.lower(trade_name)})
+
+
+def with_institutional_sector(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` with the sector as column ``label``, each name lower-cased once."""
+    return (rows
+            .withColumns({"__name": F.lower("nome_devedor"), "__trade_name": F.lower("nome_fantasia")})
+            .withColumn(label, _sector({"nome_devedor": F.col("__name"),
+                                        "nome_fantasia": F.col("__trade_name")}))
+            .drop("__name", "__trade_name"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from debtatlas.functions.money import (
     MONEY, WIDE_MONEY, percent_of, ratio, ratio_percent)
 from debtatlas.operators.distribution import (
-    amount_standing, amounts_in, cell_totals, median_of, middle_cells, part_standing)
+    Handful, amount_standing, amounts_in, cell_totals, median_of, middle_cells, part_standing)
 from debtatlas.operators.ranking import SERIAL, SLICE, sliced
 from debtatlas.operators.segments import summarise
 from debtatlas.session import settle
@@ -105,45 +105,69 @@ def _split_by_tier(standing: DataFrame) -> DataFrame:
             .filter("n > 0"))
 
 
+def _maybe_middle(standing: DataFrame) -> Column:
+    """Whether a tier's middle amounts may lie in a cell, as far as whole cells tell.
+
+    Of a cut cell only the most it can give a tier is known: all its rows with an amount. A
+    cell is out of the question where, even so, more of its tier lies on one side than on the
+    other side and in the cell together. So what is looked into beyond the cells of the
+    middles holds no more rows than the cut cells do.
+    """
+    own = Window.partitionBy("tier")
+    everyone = Window.partitionBy()
+    below, above = [w.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1) for w in (own, everyone)]
+    whole = F.when(~F.col("cut"), F.col("com_valor")).otherwise(0)
+    loose = F.when(F.col("cut"), F.col("com_valor")).otherwise(0)
+    before, loose_before = [F.coalesce(F.sum(n).over(w), F.lit(0)) for n, w in ((whole, below), (loose, above))]
+    after = F.sum(whole).over(own) - before - F.col("com_valor")
+    loose_after = F.sum(loose).over(everyone) - loose_before
+    return (~F.col("cut") & (F.col("com_valor") > 0)
+            & (before <= after + loose_after + F.col("com_valor"))
+            & (after <= before + loose_before + F.col("com_valor")))
+
+
 def pareto_summary(silver: DataFrame) -> DataFrame:
     """Per tier: first and last rank, counts, sums, shares, mean and median.
 
-    Amounts in a cell have one sign, so the running share moves one way through it
-    and a cell whose two ends agree lies in one tier. Only the cells that a limit
-    cuts are looked into, and after that the cells that hold a median.
+    Amounts in a cell have one sign, so the running share moves one way through it and a
+    cell whose two ends agree lies in one tier. The cells that a limit cuts, and those that
+    may hold a tier's median, are looked into in a second scan; the roll is read twice.
     """
     rows = silver.select(SELECTED)
-    standing = settle(part_standing(cell_totals(rows, SELECTED), F.desc("cell")))
+    placed = part_standing(cell_totals(rows, SELECTED), F.desc("cell"))
     at_top = F.col("soma_antes") + F.coalesce(F.col("maior"), F.lit(0))
     at_end = F.col("soma_antes") + F.coalesce(F.col("soma"), F.lit(0))
-    tier = _tier(at_end, F.col("total"))
-    cut = tier != _tier(at_top, F.col("total"))
-    whole = standing.filter(~cut).select(
-        tier.alias("faixa_pareto"), "cell", F.lit(None).cast(MONEY).alias("valor"),
+    ends = placed.withColumn("tier", _tier(at_end, F.col("total"))).withColumn(
+        "cut", F.col("tier") != _tier(at_top, F.col("total")))
+    standing = settle(ends.withColumn("middle", _maybe_middle(ends)))
+    amounts = settle(amounts_in(
+        rows, SELECTED, standing.filter("cut or middle").select("cell", "cut"), ["cell"]))
+    whole = standing.filter(~F.col("cut")).select(
+        F.col("tier").alias("faixa_pareto"), "cell", F.lit(None).cast(MONEY).alias("valor"),
         "n", F.col("n_antes").alias("antes"), "com_valor", "soma")
-    amounts_cut = (amounts_in(rows, SELECTED, standing.filter(cut).select("cell"), ["cell"])
-                   .select("cell", "valor", F.col("n_valor").alias("n"),
-                           (F.col("n_valor") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
-    split = _split_by_tier(amount_standing(amounts_cut, standing)).select(
+    amounts_cut = amounts.filter("cut").select(
+        "cell", "valor", F.col("n_valor").alias("n"),
+        (F.col("n_valor") * F.col("valor")).cast(WIDE_MONEY).alias("soma"))
+    split = settle(_split_by_tier(amount_standing(amounts_cut, standing)).select(
         "*", F.col("n").alias("com_valor"),
-        (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma"))
-    pieces = settle(whole.unionByName(split)
-                    .withColumn("maior", F.lit(None).cast(MONEY))
-                    .withColumn("de", F.col("antes") + 1)
-                    .withColumn("ate", F.col("antes") + F.col("n")))
-
-    # A whole cell is in one tier, so its rows are found by cell alone.
-    middles = middle_cells(
+        (F.col("n") * F.col("valor")).cast(WIDE_MONEY).alias("soma")))
+    pieces = (whole.unionByName(split)
+              .withColumn("maior", F.lit(None).cast(MONEY))
+              .withColumn("de", F.col("antes") + 1)
+              .withColumn("ate", F.col("antes") + F.col("n")))
+
+    middles = Handful(middle_cells(
         pieces.groupBy("faixa_pareto", "cell").agg(F.sum("com_valor").alias("com_valor")),
+        ["faixa_pareto"]))
+    here = middles.holds(F.col("cell"))
+    in_whole = (amounts.filter(~F.col("cut") & here)
+                .join(F.broadcast(standing.filter("middle").filter(here)
+                                  .select("cell", F.col("tier").alias("faixa_pareto"))), "cell"))
+    in_split = split.filter(here).withColumn("n_valor", F.col("n"))
+    columns = ["faixa_pareto", "cell", "valor", "n_valor"]
+    medians = median_of(middles.attach(
+        in_whole.select(*columns).unionByName(in_split.select(*columns)), ["faixa_pareto", "cell"]),
         ["faixa_pareto"])
-    in_whole = amounts_in(
-        rows, SELECTED,
-        middles.join(F.broadcast(pieces.filter(F.col("valor").isNull()).select("cell")),
-                     "cell", "left_semi"), ["cell"])
-    in_split = (pieces.filter(F.col("valor").isNotNull())
-                .select("faixa_pareto", "cell", "valor", F.col("n").alias("n_valor"))
-                .join(F.broadcast(middles), ["faixa_pareto", "cell"]))
-    medians = median_of(in_whole.unionByName(in_split), ["faixa_pareto"])
     return (summarise(pieces, medians, "faixa_pareto",
                       [F.min("de").alias("rank_inicial"), F.max("ate").alias("rank_final")])
             .select("faixa_pareto", "rank_inicial", "rank_final", "total_devedores",

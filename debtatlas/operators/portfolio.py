@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debtatlas.functions.labels import debt_profile, entity_type, institutional_sector
+from debtatlas.functions.labels import debt_profile, entity_type, with_institutional_sector
 from debtatlas.functions.money import WIDE_MONEY
 from debtatlas.operators.distribution import (
     Handful, amounts_and_documents, cell_of, cell_totals, median_of, middle_cells)
@@ -29,11 +29,10 @@ GROUPING = {"macro_metrics": None, "entity_summary": "tipo_pessoa",
 
 
 def _labelled(silver: DataFrame) -> DataFrame:
-    return silver.select(
+    return with_institutional_sector(silver, LABELS[2]).select(
         "cpf_cnpj", SELECTED, TOTAL,
         entity_type(F.col("cpf_cnpj")).alias(LABELS[0]),
-        debt_profile(F.col(SELECTED), F.col(TOTAL)).alias(LABELS[1]),
-        institutional_sector(F.col("nome_devedor"), F.col("nome_fantasia")).alias(LABELS[2]))
+        debt_profile(F.col(SELECTED), F.col(TOTAL)).alias(LABELS[1]), LABELS[2])
 
 
 def label_cube(silver: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from debtatlas.functions.labels import (
-    PRIVATE_SECTOR, PUBLIC_SECTOR, debt_profile, entity_type, institutional_sector)
+    PRIVATE_SECTOR, PUBLIC_SECTOR, debt_profile, entity_type, with_institutional_sector)
 from debtatlas.functions.money import (
     MONEY, WIDE_MONEY, mean, percent_of, ratio, ratio_percent, round2)
 from debtatlas.operators.distribution import cell_totals, exact_median
@@ -152,10 +152,8 @@ def profile_measures(silver: DataFrame) -> DataFrame:
 # --- public and private sector -----------------------------------------------------
 
 def sector_rows(silver: DataFrame) -> DataFrame:
-    return silver.select(
-        "cpf_cnpj", "nome_devedor", "nome_fantasia", SELECTED, TOTAL,
-        institutional_sector(F.col("nome_devedor"), F.col("nome_fantasia"))
-        .alias("esfera_institucional"))
+    return with_institutional_sector(silver, "esfera_institucional").select(
+        "cpf_cnpj", "nome_devedor", "nome_fantasia", SELECTED, TOTAL, "esfera_institucional")
 
 
 def sector_report(summary: DataFrame) -> DataFrame:
