@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 from debtatlas.plans.reports import REPORTS
 from debtatlas.session import release, settle
-from debtatlas.sources.roll_csv import profile_raw, publish_parquet, read_roll
+from debtatlas.sources.catalog import publish_parquet, read_published
+from debtatlas.sources.roll_csv import profile_raw, read_roll
 from debtatlas.sources.staging import stage
 
 SHOWN = 100
@@ -29,7 +30,7 @@ def report(spark: SparkSession, name: str, warehouse: str, out: str | None = Non
            shown: int = SHOWN) -> None:
     """Write all rows of a report to ``out`` (Parquet, or CSV for a name in .csv), or show
     the first and say how many more there are."""
-    silver = spark.read.parquet(f"{warehouse}/stg_divida_fgts")
+    silver = read_published(spark, f"{warehouse}/stg_divida_fgts")
     rows = REPORTS[name](silver)
     if out is not None:
         writer = rows.write.mode("overwrite")

@@ -18,6 +18,11 @@ def parse_brl(text: Column) -> Column:
     return F.translate(F.trim(text), ",.", ".").try_cast(MONEY)
 
 
+def brl_sql(text: str) -> str:
+    """The same as an SQL expression over ``text``."""
+    return f"try_cast(translate(trim({text}), ',.', '.') AS {MONEY})"
+
+
 def round2(x: Column) -> Column:
     return F.round(x * F.lit(100.0), 0) / F.lit(100.0)
 

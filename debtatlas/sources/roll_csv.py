@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,28 +50,6 @@ def write_roll(raw: DataFrame, path: str) -> None:
     raw.write.options(**FORMAT).csv(path)
 
 
-def publish_table(df: DataFrame, table: str = RAW_TABLE, path: str | None = None) -> DataFrame:
-    """Create or replace a catalog table with the rows of ``df``, at ``path`` if given."""
-    writer = df.write.mode("overwrite").format("parquet")
-    (writer if path is None else writer.option("path", path)).saveAsTable(table)
-    return df.sparkSession.table(table)
-
-
-def _place(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path).rstrip("/")
-
-
-def publish_parquet(df: DataFrame, path: str) -> DataFrame:
-    """Replace the Parquet copy at ``path`` and return a frame that reads it.
-
-    A frame that reads what it would replace is refused: its rows would be gone first.
-    """
-    if any(_place(file).startswith(_place(path) + "/") for file in df.inputFiles()):
-        raise ValueError(f"the rows to publish are read from {path}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def profile_raw(raw: DataFrame) -> DataFrame:
     """One row per column: its name, its type and the number of records."""
     columns = F.array(*[F.struct(F.lit(name).alias("column_name"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debtatlas.functions.money import parse_brl
+from debtatlas.functions.money import brl_sql, parse_brl
 from debtatlas.sources.roll_csv import (
     DOCUMENT, NAME, SELECTED, TOTAL, TRADE_NAME)
 
@@ -16,14 +16,29 @@ def _raw(name: str):
     return F.col(f"`{name}`")
 
 
+def _trimmed(name: str) -> str:
+    return f"trim(`{name}`)"
+
+
+#: The contract as SQL: each staging column and what it is made of.
+CONTRACT = {
+    "cpf_cnpj": _trimmed(DOCUMENT),
+    "nome_devedor": _trimmed(NAME),
+    "nome_fantasia": f"nullif({_trimmed(TRADE_NAME)}, '')",
+    "valor_total": brl_sql(f"`{TOTAL}`"),
+    "valor_divida_selecionada": brl_sql(f"`{SELECTED}`"),
+}
+
+
 def stage(raw: DataFrame) -> DataFrame:
     """Five typed columns: trimmed text, blank trade names as NULL, money as decimals."""
-    return raw.select(
-        F.trim(_raw(DOCUMENT)).alias("cpf_cnpj"),
-        F.trim(_raw(NAME)).alias("nome_devedor"),
-        F.nullif(F.trim(_raw(TRADE_NAME)), F.lit("")).alias("nome_fantasia"),
-        parse_brl(_raw(TOTAL)).alias("valor_total"),
-        parse_brl(_raw(SELECTED)).alias("valor_divida_selecionada"))
+    return raw.selectExpr(*[f"{made} AS {name}" for name, made in CONTRACT.items()])
+
+
+def staging_sql(table: str) -> str:
+    """The contract as a statement over a raw table of the catalog."""
+    columns = ", ".join(f"{made} AS {name}" for name, made in CONTRACT.items())
+    return f"SELECT {columns} FROM {table}"
 
 
 def create_staging_view(raw: DataFrame, name: str = STAGING_VIEW) -> DataFrame:

@@ -4,11 +4,12 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from debtatlas import __main__ as command
 from debtatlas.plans.reports import REPORTS, report
 from debtatlas.session import release, shared_folder
-from debtatlas.sources import roll_csv, staging
+from debtatlas.sources import catalog, roll_csv, staging
 
 HEADER = "CPF/CNPJ;Nome;Nome Fantasia;Valor Total;Valor da Dívida Selecionada;Extra"
 LINES = [
@@ -64,12 +65,12 @@ def test_missing_columns_are_named(spark, tmp_path):
 def test_publishing_replaces(spark, extract, tmp_path):
     raw = roll_csv.read_roll(spark, extract)
     for _ in range(2):
-        copy = roll_csv.publish_parquet(raw, str(tmp_path / "bronze"))
+        copy = catalog.publish_parquet(raw, str(tmp_path / "bronze"))
         assert copy.schema == raw.schema and copy.count() == 3
     path = spark.conf.get("spark.sql.warehouse.dir")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS rolls LOCATION '{tmp_path}/db'")
     for _ in range(2):
-        roll_csv.publish_table(raw, "rolls.divida_fgts")
+        catalog.publish_table(raw, "rolls.divida_fgts")
         assert spark.table("rolls.divida_fgts").count() == 3
     spark.sql("DROP DATABASE rolls CASCADE")
     assert path == spark.conf.get("spark.sql.warehouse.dir")
@@ -105,11 +106,67 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
         roll_csv.read_roll(spark, str(path)).collect()
 
 
-def test_a_frame_does_not_replace_what_it_reads(spark, extract, tmp_path):
-    copy = roll_csv.publish_parquet(roll_csv.read_roll(spark, extract), str(tmp_path / "bronze"))
+def test_a_frame_may_replace_what_it_reads(spark, extract, tmp_path):
+    copy = catalog.publish_parquet(roll_csv.read_roll(spark, extract), str(tmp_path / "bronze"))
+    less = catalog.publish_parquet(copy.where("Nome = 'MARIA'"), str(tmp_path / "bronze"))
+    assert (copy.count(), less.count()) == (3, 1)
+
+
+def _failing(raw):
+    return raw.withColumn("Nome", F.when(F.col("Nome") == "MARIA", F.raise_error(F.lit("half-way")))
+                          .otherwise(F.col("Nome")))
+
+
+def test_a_write_that_fails_leaves_the_old_rows(spark, extract, tmp_path):
+    raw, path = roll_csv.read_roll(spark, extract), str(tmp_path / "bronze")
+    catalog.publish_parquet(raw, path)
+    catalog.publish_table(raw, "divida_teste", str(tmp_path / "table"))
+    for publish in (lambda: catalog.publish_parquet(_failing(raw), path),
+                    lambda: catalog.publish_table(_failing(raw), "divida_teste", str(tmp_path / "table"))):
+        with pytest.raises(Exception, match="half-way"):
+            publish()
+    assert catalog.read_published(spark, path).count() == 3
+    assert spark.table("divida_teste").count() == 3
+    assert len(list((tmp_path / "bronze").glob("data-*"))) == 1
+    spark.sql("DROP TABLE divida_teste")
+
+
+def test_a_reader_keeps_its_version(spark, extract, tmp_path):
+    raw, path = roll_csv.read_roll(spark, extract), str(tmp_path / "bronze")
+    old = catalog.publish_parquet(raw, path)
+    for rows in (2, 1):
+        assert catalog.publish_parquet(raw.limit(rows), path).count() == rows
+        if rows == 2:
+            assert old.count() == 3
+    assert len(list((tmp_path / "bronze").glob("data-*"))) == catalog.KEPT_VERSIONS
+    with pytest.raises(FileNotFoundError):
+        catalog.read_published(spark, str(tmp_path / "nowhere"))
+
+
+def test_a_table_takes_other_columns(spark, extract, tmp_path):
+    raw = roll_csv.read_roll(spark, extract)
+    catalog.publish_table(raw, "divida_larga", str(tmp_path / "table"))
+    catalog.publish_table(staging.stage(raw), "divida_larga", str(tmp_path / "table"))
+    assert [tuple(r) for r in catalog.describe_table(spark, "divida_larga").collect()] == [
+        ("cpf_cnpj", "string"), ("nome_devedor", "string"), ("nome_fantasia", "string"),
+        ("valor_total", "decimal(18,2)"), ("valor_divida_selecionada", "decimal(18,2)")]
+    assert spark.table("divida_larga").count() == 3
+    spark.sql("DROP TABLE divida_larga")
+
+
+def test_the_view_outlives_the_session_and_follows_the_table(spark, extract, tmp_path):
+    raw = roll_csv.read_roll(spark, extract)
+    catalog.publish_table(raw, "divida_base", str(tmp_path / "table"))
+    catalog.create_permanent_view(spark, "divida_base", "stg_base")
+    other = spark.newSession()
+    assert other.table("stg_base").collect() == staging.stage(raw).collect()
+    catalog.publish_table(raw.where("Nome = 'MARIA'"), "divida_base", str(tmp_path / "table"))
+    assert spark.newSession().table("stg_base").count() == 1
+    assert report(spark.newSession(), "macro_metrics", "stg_base").first().total_registros == 1
     with pytest.raises(ValueError):
-        roll_csv.publish_parquet(copy.limit(1), str(tmp_path / "bronze"))
-    assert copy.count() == 3
+        catalog.create_permanent_view(spark, "divida_base; DROP TABLE x", "v")
+    spark.sql("DROP VIEW stg_base")
+    spark.sql("DROP TABLE divida_base")
 
 
 def test_command_line_writes_every_row(spark, tmp_path, capsys):
