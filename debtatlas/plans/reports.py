@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debtatlas.functions import labels
-from debtatlas.operators import groups, macro, pareto, portfolio, quality, segments
+from debtatlas.operators import groups, macro, pareto, portfolio, quality, segments, sketches
 from debtatlas.sources.staging import STAGING_VIEW
 
 TOP = 10
@@ -74,6 +74,7 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "pareto_summary": pareto.pareto_summary,
     "pareto_cumulative": pareto.pareto_cumulative,
     "top_ten_share": top_ten_share,
+    "sketch_audit": sketches.sketch_audit,
     "portfolio_table": portfolio.portfolio_table,
 }
 

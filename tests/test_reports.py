@@ -62,7 +62,7 @@ ROLLS = {
 
 
 # Reports whose arithmetic depends on the amounts; the others restate rows or build on these.
-STATISTICS = ["key_audit", "dedupe", "macro_metrics", "entity_summary", "corporate_groups",
+STATISTICS = ["key_audit", "dedupe", "segment_key_audit", "portfolio_table", "profile_measures", "macro_metrics", "entity_summary", "corporate_groups",
               "profile_summary", "sector_summary", "pareto_rows", "pareto_summary"]
 VARIED = ["empty", "nulls", "zero_total", "mixed_signs", "random_positive", "random_signed"]
 CROWDED = ["nulls", "ties_over_limits", "negative_ties", "identical", "random_positive",
@@ -89,6 +89,7 @@ def test_ranks_do_not_depend_on_the_slices(spark, make_roll, roll_name, slices):
         roll = make_roll(ROLLS[roll_name])
         roll.check("pareto_rows", pareto.pareto_rows(roll.silver))
         roll.check("key_audit", quality.key_audit(roll.silver))
+        roll.check("segment_key_audit", REPORTS["segment_key_audit"](roll.silver))
     finally:
         for name, value in kept.items():
             spark.conf.set(name, value)
@@ -122,6 +123,52 @@ def test_published_identities(make_roll):
                 == group.total_estabelecimentos)
 
 
+def test_only_records_of_repeated_keys_are_ranked(spark, make_roll, monkeypatch):
+    """Keys that occur once are gone before anything is put in order."""
+    seen = []
+    ranked = quality.position_within
+
+    def watch(rows, key, order):
+        seen.append(rows.count())
+        return ranked(rows, key, order)
+
+    monkeypatch.setattr(quality, "position_within", watch)
+    silver = make_roll([(str(i), "A", None, 1, i) for i in range(40)]
+                       + [("7", "B", None, 1, 1), (None, "C", None, 1, 1), (None, "D", None, 1, 1)]).silver
+    assert [(r.cpf_cnpj, r.indice_duplicidade) for r in quality.key_audit(silver).collect()] == [
+        ("7", 2), (None, 2)]
+    assert seen == [4]
+
+
+def test_key_and_order_are_arguments(make_roll):
+    silver = make_roll([("a", "A", "T", 1, 5), ("b", "A", "T", 2, 5), ("c", "A", None, 3, 5), ("d", "A", None, 4, 5),
+                        ("e", "A", "T", 9, None)]).silver
+    by_name = quality.key_audit(silver, ["nome_devedor", "nome_fantasia"], [F.desc("cpf_cnpj")])
+    assert [(r.cpf_cnpj, r.indice_duplicidade) for r in by_name.collect()] == [("c", 2), ("b", 2), ("a", 3)]
+    kept = quality.dedupe(silver, ["nome_devedor", "nome_fantasia"], [F.desc("cpf_cnpj")])
+    assert sorted(r.cpf_cnpj for r in kept.collect()) == ["d", "e"]
+    wide = silver.withColumn("extra", F.lit(1))
+    assert "extra" in quality.dedupe(wide, "nome_devedor", columns=wide.columns).columns
+
+
+def test_four_reports_from_two_scans(spark, make_roll):
+    """What the cube gives is what each report gives, and the roll is read twice in all."""
+    from debtatlas.operators import portfolio
+    silver = make_roll(ROLLS["random_signed"]).silver
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    schema = silver.schema
+    watched = silver.coalesce(1).mapInArrow(counted, schema)
+    reports = portfolio.portfolio_reports(watched)
+    for name, frame in reports.items():
+        assert frame.collect() == REPORTS[name](silver).collect(), name
+    assert reads.value == 2
+
+
 def test_a_crowded_middle_cell_is_split(spark):
     """A million amounts of one cell: the median is exact, and no fine code holds many."""
     low = 10 ** 12
