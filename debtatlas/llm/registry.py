@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, html_extract, line_dedup, minhash, packing, quality_rules, sharding,
+from . import (chat_format, decontaminate, html_extract, line_dedup, minhash, packing, quality_rules, sharding,
                substring, url_filter, warc)
 from .common import reach_workers
 
@@ -26,7 +26,7 @@ def queries() -> dict[str, Query]:
     found = [sharding.op1_sharding, url_filter.op2_url_filter, quality_rules.op3_quality_rules,
              minhash.op4_minhash_near_dedup, line_dedup.op5_line_dedup,
              substring.op6_substring_dedup, warc.op7_warc, decontaminate.op8_decontamination,
-             packing.op9_packing, html_extract.op10_html_extraction]
+             packing.op9_packing, html_extract.op10_html_extraction, chat_format.op13_chat_formatting]
     return {query.__name__: _ready(query) for query in found}
 
 
