@@ -34,6 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named}/{application}"
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, whose content ``release`` deletes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    _settled.setdefault(_application(spark), []).append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and return a frame that reads it.
 
@@ -41,8 +48,7 @@ def settle(df: DataFrame) -> DataFrame:
     executors are lost, and reads only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4()}"
-    _settled.setdefault(_application(spark), []).append(path)
+    path = scratch_folder(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
