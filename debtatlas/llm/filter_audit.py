@@ -33,7 +33,9 @@ SYMBOLS = b"#$%&*|"
 # Classes of bytes, and what a step from one class to the next does.
 _BLANK, _PLAIN, _CAPITAL, _SYMBOL, _INNER = range(5)
 _BEGINS, _ENDS, _POINT, _UPPER, _MARK = (1 << n for n in range(5))
-_SLICE = 1 << 20
+#: Bytes looked up at a time, and bytes of text whose words share a hash table.
+_SLICE = 1 << 18
+CHUNK_BYTES = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -139,7 +141,7 @@ _MEASURES = ("doc_id long, part string, text_key binary, n_words long, n_distinc
 
 
 def _measure(batches):
-    for batch, data, limits in words.chunks(batches, "text"):
+    for batch, data, limits in words.chunks(batches, "text", CHUNK_BYTES):
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         read = transduce(data, limits)
         texts = len(limits) - 1

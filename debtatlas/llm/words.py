@@ -133,15 +133,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[limits[0]:limits[-1]], limits - limits[0]
 
 
-def chunks(batches, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of batches with about ``CHUNK_BYTES`` of text, or one longer text."""
+def chunks(batches, column: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with about ``size`` bytes of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, limits = column_bytes(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(limits, limits[at] + CHUNK_BYTES, "right")) - 1)
+            stop = max(at + 1, int(np.searchsorted(limits, limits[at] + size, "right")) - 1)
             stop = min(stop, batch.num_rows)
             yield (batch.slice(at, stop - at), data[limits[at]:limits[stop]],
                    limits[at:stop + 1] - limits[at])
