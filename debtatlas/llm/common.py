@@ -7,9 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from debtatlas.session import settle, shared_folder
+from debtatlas.session import scratch_folder, settle
 
-__all__ = ["reach_workers", "settle", "shared_folder", "table"]
+__all__ = ["reach_workers", "scratch_folder", "settle", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -39,30 +39,35 @@ _CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main "
     "nav ol p pre section table ul".split())
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    # an svg that ends itself hides nothing
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
+    rf"|<({_HIDDEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",  # with a quote that never ends
     re.S | re.I)
+_SEEMS_MARKED = (r"(?i)<(?:article|main)\b|(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b"
+                 r"(?:article|content|main|entry|story)\b")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of every block that has text."""
     stack: list[tuple[str, tuple[str, ...]]] = []
-    found, parts, linked, links, above = [], [], 0, 0, ()
+    found, parts, linked, links, above, blank = [], [], 0, 0, (), True
 
     def close():
-        nonlocal parts, linked
+        nonlocal parts, linked, blank
         text = " ".join("".join(parts).split())
         if text:
             found.append((above, text, linked))
-        parts, linked = [], 0
+        parts, linked, blank = [], 0, True
 
     def say(raw: str):
-        nonlocal linked, above
+        nonlocal linked, above, blank
         text = html.unescape(raw)
-        if not parts or not "".join(parts).strip():
+        if blank:
             above = tuple(part for tag, names in stack for part in (tag, *names))
+            blank = not text.strip()
         parts.append(text)
         linked += len(text) if links else 0
 
@@ -348,26 +353,38 @@ def layouts(page: list[tuple], draw: np.random.Generator, count: int) -> list[tu
     return out
 
 
-def train(sample: list[str]) -> Labeller:
+def train(sample: list[str]) -> Labeller | None:
+    """A labeller from the pages that mark their article; None where none does."""
     draw = np.random.default_rng(3)
     made = [layout for page in sample for layout in layouts(blocks(page), draw, LAYOUTS)]
+    if not made:
+        return None
     model = Labeller()
-    if made:
-        model.fit(made)
+    model.fit(made)
     return model
 
 
-def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
+def outside_asides(page: list[tuple]) -> list[bool]:
+    """The rule where no page could teach a labeller: blocks that stand in no menu, header, footer
+    or the like, and of which less than half is links."""
+    asides = {part for kind in _ASIDE.values() for path in kind for part in path} - {"div", "section", "ul", "ol"}
+    return [2 * linked < len(text) and not any(part in asides for part in path) for path, text, linked in page]
+
+
+def main_texts(model: Labeller | None, pages: list[str | None]) -> list[str]:
     found = [blocks(page or "") for page in pages]
-    chance = model.probabilities(features(found), np.array([len(x) for x in found], np.int64))
+    if model is None:
+        kept = [mark for page in found for mark in outside_asides(page)]
+    else:
+        kept = model.probabilities(features(found), np.array([len(x) for x in found], np.int64)) > 0.5
     out, at = [], 0
     for page in found:
-        out.append(" ".join(text for (_, text, _), p in zip(page, chance[at:at + len(page)]) if p > 0.5))
+        out.append(" ".join(text for (_, text, _), keep in zip(page, kept[at:at + len(page)]) if keep))
         at += len(page)
     return out
 
 
-def _extract(model: Labeller):
+def _extract(model: Labeller | None):
     def run(batches):
         for batch, _, _ in words.chunks(batches, "html"):
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -378,6 +395,19 @@ def _extract(model: Labeller):
     return run
 
 
+def sample_pages(rows: DataFrame) -> list[str]:
+    """At most ``SAMPLE_PAGES`` different pages, those that seem to mark an article first.
+
+    Drawn by the hash of the html, so copies of a page count once, however many there are.
+    """
+    short = rows.where(F.length("html") <= SAMPLE_CHARS).select(
+        F.xxhash64("html", F.lit("draw")).alias("key"), F.col("html").rlike(_SEEMS_MARKED).alias("marks"), "html")
+    drawn = short.select("key", "marks").distinct().orderBy(F.desc("marks"), "key").limit(SAMPLE_PAGES)
+    found = (short.join(F.broadcast(drawn.select("key")), "key")
+             .groupBy("key").agg(F.min("html").alias("html")).orderBy("key"))
+    return [row.html for row in found.collect()]
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
             html_column: str = "html", model: Labeller | None = None) -> DataFrame:
     """One row per page: page_id, url, text (empty if there is none), n_chars.
@@ -385,17 +415,13 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     Blocks judged to be article text are joined by one space, in page order; nothing of them
     is cut. NULL pages have an empty text; ids and urls are carried as they are, repeated rows
     are judged one by one, other columns are ignored. Without a model one is trained on pages
-    of this table; a table without any marked article gives an untrained one. An empty table
-    gives no rows.
+    of this table; where none of them marks its article there is none, and ``outside_asides``
+    decides. An empty table gives no rows.
     """
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"),
                         F.col(html_column).cast("string").alias("html"))
     if model is None:
-        short = rows.where(F.length("html") <= SAMPLE_CHARS)
-        total = short.count()
-        part = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / (1 << 30) < 2 * SAMPLE_PAGES / max(total, 1)
-        sample = short.where(part).orderBy(F.xxhash64("html", F.lit("draw")), "html").limit(SAMPLE_PAGES)
-        model = train([row.html for row in sample.select("html").collect()])
+        model = train(sample_pages(rows))
     return rows.mapInArrow(_extract(model), "page_id long, url string, text string").select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

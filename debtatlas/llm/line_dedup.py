@@ -1,15 +1,16 @@
 """Removal of repeated blocks of lines, in built-in expressions only.
 
-Lines are cut into chunks by content: a hash rolls over a window of two line hashes, and a
-chunk ends where it is divisible by ``DIVISOR``, so the same block is cut alike wherever it
-stands, from its second line on. Chunks of several lines whose hash occurs more than once
+Lines are cut into chunks by content. A hash rolls over the hashes of two neighbouring lines
+with a word; where ``divisor`` divides it, the later line is a boundary, and a chunk reaches
+from one boundary to the next, both included. Boundaries depend on nothing around them, so a
+block is cut alike wherever it stands, and chunks overlap by a line, so what repeats across
+neighbouring chunks is covered as one run. Chunks whose hash occurs more than once
 are compared byte for byte, and all but the first occurrence (least doc_id, then place) are
 taken out.
 
-Chunks miss a block whose ends do not fall on theirs. The pipeline takes ``pairs`` instead:
-every two neighbouring lines are a piece, and since each pair inside a repeated run is itself
-repeated, what they cover is the whole run. ``op5_line_dedup`` keeps to the chunks, which its
-statement ``OP5_SQL`` sets down.
+With a divisor above 1 there are fewer and longer chunks, and blocks without two boundaries
+inside are missed: most short ones. ``DIVISOR`` is 1: every line with a word is a boundary, and all lines of every run of
+two or more that stands earlier are found.
 
 Only hashes are counted in the first pass; chunk texts travel for repeated hashes alone.
 Counting and finding first occurrences combine before the shuffle, and the joins read
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 
-#: One line in so many ends a chunk.
-DIVISOR = 3
+#: One line in so many is a boundary.
+DIVISOR = 1
 _KEY = ["doc_id", "text_key"]
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -39,41 +40,34 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def chunks(text_lines: Column) -> Column:
-    """(first line, number of lines) of every chunk."""
-    def ends(hashes: Column) -> Column:
-        def rolled(i: Column) -> Column:
-            return 31 * F.coalesce(F.get(hashes, i - 1), F.lit(0)) + F.get(hashes, i)
-        return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: (
-            (rolled(i) % DIVISOR == 0) | (i == F.size(hashes) - 1)))
+def chunks(text_lines: Column, divisor: int = DIVISOR) -> Column:
+    """(first line, number of lines) of every chunk: from a boundary to the next one."""
+    def boundaries(at: Column) -> Column:
+        if divisor == 1:
+            return at
 
-    def cut(last: Column) -> Column:
-        return F.transform(last, lambda end, k: F.struct(
-            (F.coalesce(F.get(last, k - 1), F.lit(-1)) + 1).alias("first"),
-            (end - F.coalesce(F.get(last, k - 1), F.lit(-1))).alias("size")))
+        def rolled(n: Column) -> Column:
+            before = F.coalesce(line_hash(F.get(text_lines, F.get(at, n - 1))), F.lit(0))
+            return 31 * before + line_hash(F.get(text_lines, F.get(at, n)))
+        return F.filter(at, lambda line, n: rolled(n) % divisor == 0)
 
-    return _let(_let(F.transform(text_lines, line_hash), ends), cut)
-
-
-def pairs(text_lines: Column) -> Column:
-    """(first line, number of lines) of every two lines with a word that only blank ones part."""
     def spans(at: Column) -> Column:
         return F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda last, k: F.struct(
             F.get(at, k).alias("first"), (last - F.get(at, k) + 1).alias("size")))
 
-    return _let(F.filter(F.sequence(F.lit(0), F.size(text_lines) - 1),
-                         lambda i: F.get(text_lines, i).rlike(_WORD)), spans)
+    with_words = F.filter(F.sequence(F.lit(0), F.size(text_lines) - 1),
+                          lambda i: F.get(text_lines, i).rlike(_WORD))
+    return _let(_let(with_words, boundaries), spans)
 
 
-def _pieces(docs: DataFrame, pieces_of) -> DataFrame:
-    """A row per piece of several lines that has a word, with its text."""
+def _pieces(docs: DataFrame, divisor: int) -> DataFrame:
+    """A row per chunk, with its text."""
     cut = docs.select(*_KEY, F.split("text", "\n").alias("lines")).select(
-        *_KEY, "lines", F.filter(pieces_of(F.col("lines")), lambda c: c["size"] > 1).alias("chunks"))
+        *_KEY, "lines", chunks(F.col("lines"), divisor).alias("chunks"))
     return cut.select(*_KEY, F.explode(F.transform("chunks", lambda c: F.struct(
         c["first"].alias("first"), c["size"].alias("size"),
         F.array_join(F.slice("lines", c["first"] + 1, c["size"]), "\n").alias("chunk")))).alias("c")
-    ).select(*_KEY, "c.*").where(F.col("chunk").rlike(_WORD)).withColumn(
-        "hash", F.xxhash64("chunk"))
+    ).select(*_KEY, "c.*").withColumn("hash", F.xxhash64("chunk"))
 
 
 def _place() -> Column:
@@ -81,15 +75,15 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first")
 
 
-def repeated_lines(docs: DataFrame, id_column: str, text_column: str, pieces_of=chunks) -> DataFrame:
-    """(doc_id, text_key, lines): numbers of the lines to take out, a row per document.
+def repeated_lines(docs: DataFrame, id_column: str, text_column: str, divisor: int = DIVISOR) -> DataFrame:
+    """(doc_id, text_key, lines_gone): numbers of the lines to take out, a row per document.
 
-    A piece that overlaps its own first occurrence stays.
+    A chunk that overlaps its own first occurrence stays.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"),
                          F.col(text_column).cast("string").alias("text"),
                          F.xxhash64(F.col(text_column).cast("string")).alias("text_key"))
-    pieces = _pieces(source, pieces_of)
+    pieces = _pieces(source, divisor)
     repeated = settle(pieces.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     candidates = settle(pieces.join(repeated.hint("merge"), "hash", "left_semi"))
     owners = settle(candidates.groupBy("hash", "chunk").agg(F.min(_place()).alias("owner"),
@@ -99,23 +93,27 @@ def repeated_lines(docs: DataFrame, id_column: str, text_column: str, pieces_of=
                 & (F.col("first") < F.col("owner.first") + F.col("size")))
     gone = (candidates.join(owners.hint("merge"), ["hash", "chunk"]).where(~overlaps)
             .select(*_KEY, F.sequence("first", F.col("first") + F.col("size") - 1).alias("lines")))
-    return settle(gone.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone")))
+    return settle(gone.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines_gone")))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                    pieces_of=chunks) -> DataFrame:
+                    divisor: int = DIVISOR) -> DataFrame:
     """All rows and columns of ``docs``, the text without repeated chunks, and n_lines and
     n_removed_lines beside it.
 
-    With ``pieces_of=pairs`` all lines of every run of two or more lines with a word that
-    stands earlier are taken out, whatever is around it.
-
     A NULL text stays NULL and has no lines; an empty text is one empty line. Rows that share
     doc_id and text are one document and keep or lose the same lines. Rows without a doc_id
-    come after all others. A text may become empty. An empty table gives no rows.
+    come after all others. A text may become empty. Columns of ``docs`` that are called like
+    one of the counts stay, and the count's name gets a ``_``. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, id_column, text_column, pieces_of).select(
-        F.col("doc_id").alias("__dedup_id"), F.col("text_key").alias("__dedup_key"), F.col("gone").alias("__dedup_gone"))
+    gone = repeated_lines(docs, id_column, text_column, divisor).select(
+        F.col("doc_id").alias("__dedup_id"), F.col("text_key").alias("__dedup_key"), F.col("lines_gone").alias("__dedup_gone"))
     text = F.col(text_column).cast("string")
     joined = docs.join(gone.hint("merge"), F.col(id_column).cast("long").eqNullSafe(F.col("__dedup_id"))
                        & (F.xxhash64(text) == F.col("__dedup_key")), "left")
@@ -123,36 +121,36 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rest = F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("__dedup_lines") - 1), "__dedup_gone"),
         lambda i: F.get("__dedup_lines", i)), "\n")
-    return (cut.withColumn("n_lines", F.coalesce(F.size("__dedup_lines"), F.lit(0)).cast("long"))
-            .withColumn("n_removed_lines", F.coalesce(F.size("__dedup_gone"), F.lit(0)).cast("long"))
+    lines, removed = _free("n_lines", docs.columns), _free("n_removed_lines", docs.columns)
+    return (cut.withColumn(lines, F.coalesce(F.size("__dedup_lines"), F.lit(0)).cast("long"))
+            .withColumn(removed, F.coalesce(F.size("__dedup_gone"), F.lit(0)).cast("long"))
             .withColumn(text_column, F.when(F.col("__dedup_gone").isNull(), text).otherwise(rest))
             .drop("__dedup_id", "__dedup_key", "__dedup_gone", "__dedup_lines"))
 
 
 def op5_line_dedup(spark, folder: str) -> DataFrame:
-    return without_repeats(table(spark, folder, "documents")).select(
+    return without_repeats(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed_lines", "text")
 
 
 OP5_SQL = """
-WITH lines AS (
-  SELECT doc_id, text, unnest(range(len(ls))) AS i, unnest(ls) AS line
-  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)),
-hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines),
-ends AS (
-  SELECT *, CASE WHEN (31 * coalesce(lag(h) OVER d, 0) + h) % 3 = 0 THEN 1 ELSE 0 END AS is_end
-  FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (
-  SELECT *, sum(is_end) OVER (PARTITION BY doc_id ORDER BY i) - is_end AS part FROM ends),
+WITH split AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM split),
+worded AS (
+  SELECT doc_id, ls, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j
+  FROM lines WHERE regexp_matches(ls[i + 1], '[^\\x20\\x09-\\x0D]')),
 chunks AS (
-  SELECT doc_id, part, min(i) AS first_line, string_agg(line, chr(10) ORDER BY i) AS chunk
-  FROM numbered GROUP BY doc_id, part HAVING count(*) > 1),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first_line) AS place
-  FROM chunks WHERE regexp_matches(chunk, '[^\\x20\\x09-\\x0D]')),
+  SELECT doc_id, i, j, array_to_string(ls[i + 1:j + 1], chr(10)) AS chunk FROM worded WHERE j IS NOT NULL),
+owned AS (
+  SELECT *, first_value(doc_id) OVER earliest AS owner, first_value(i) OVER earliest AS owner_i
+  FROM chunks WINDOW earliest AS (PARTITION BY chunk ORDER BY doc_id, i)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM owned
+  WHERE doc_id > owner OR i >= owner_i + (j - i + 1)),
 kept AS (
-  SELECT n.doc_id, n.i, n.line, r.doc_id IS NOT NULL AS gone
-  FROM numbered n LEFT JOIN ranked r ON r.doc_id = n.doc_id AND r.part = n.part AND r.place > 1),
+  SELECT l.doc_id, l.i, l.ls[l.i + 1] AS line, g.i IS NOT NULL AS gone
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i),
 rest AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed_lines,
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text

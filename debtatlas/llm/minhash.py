@@ -4,20 +4,16 @@ Signature: one hash throws a document's shingles into bins, each bin
 keeps its least value, and empty bins copy a filled one picked by their own probe
 sequence (optimal densification). Buckets: some bins make a band, equal bands meet.
 Edges: the least member of a bucket is its centre, and only (centre, member) pairs are
-compared, on full shingle sets. A bucket whose members these links do not bring into one
-component is dealt again, all of it, by ``SHARPER`` bands, where pairs that are unlike
-hardly meet. There members meet one centre, then ``TAIL_CENTRES``, and in buckets that are
-still open every pair of members in two components is compared, so links aside of a centre
-are found; pairs inside a bucket's largest component are never listed. Documents with equal
-sets are one class before all this. Bands have as many bins as a chance of ``MISS`` to
-overlook a pair right at the threshold allows: 5 at a similarity of 0.85, 4 at 0.8, and 16
-and 11 when dealt again.
+compared, on full shingle sets. Where a bucket's members are not one component after that,
+they are searched for further links by an exact prefix join on their rare shingles, so links
+aside of a centre are found, and pairs inside a bucket are never listed as such. Documents
+with equal sets are one class before all this. Bands have as many bins as a chance of
+``MISS`` to overlook a pair right at the threshold allows: 5 at a similarity of 0.85, 4 at 0.8.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +24,12 @@ from . import words
 from .common import settle, table
 from .components import components
 
-#: Bands of the first deal, and of the second, for buckets that are not one component yet.
-BANDS, SHARPER = 24, 150
+BANDS = 24
 #: Chance that a pair right at the threshold shares no bucket.
 MISS = 1e-5
-#: Centres of a bucket that is still open after that, before all its members meet.
-TAIL_CENTRES = 8
+#: Counters for how common shingles are; what is common only decides an order.
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 _VALUE_BITS = 40
 _SEED, _PROBES, _BAND = words.numbered(3, 41)
 
@@ -128,8 +124,7 @@ def _sign(shingle: int, rows: int, id_column: str, text_column: str):
         for batch, data, limits in words.chunks(batches, text_column):
             sets, at = shingle_sets(data, limits, shingle)
             keys = band_keys(signatures(sets, at, BANDS * rows), rows).view(np.int64)
-            digests = [hashlib.blake2b(sets[at[i]:at[i + 1]].tobytes(), digest_size=16).digest()
-                       for i in range(len(at) - 1)]
+            digests = [_key(sets[at[i]:at[i + 1]]) for i in range(len(at) - 1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(id_column)).cast(pa.int64()),
                  pa.array(np.diff(at)), pa.array(digests, pa.binary()),
@@ -138,13 +133,20 @@ def _sign(shingle: int, rows: int, id_column: str, text_column: str):
     return run
 
 
+def _key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sets(shingle: int):
+    """The sets of the texts that have the key their class has."""
     def run(batches):
         for batch, data, limits in words.chunks(batches, "text"):
             sets, at = shingle_sets(data, limits, shingle)
+            wanted = batch.column(batch.schema.get_field_index("set_key")).to_pylist()
+            own = [_key(sets[at[i]:at[i + 1]]) == wanted[i] for i in range(len(at) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("id")), words.blobs(sets, at)],
-                ["id", "sets"])
+                [batch.column(batch.schema.get_field_index("member")), words.blobs(sets, at)],
+                ["member", "sets"]).filter(pa.array(own))
     return run
 
 
@@ -165,75 +167,98 @@ def _alike(percent: int):
     return run
 
 
-def _resign(rows: int, bands: int):
-    def run(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("sets"))
-            parts = [np.frombuffer(value.as_buffer(), np.uint64) for value in column]
-            at = np.concatenate([[0], np.cumsum([len(part) for part in parts])]).astype(np.int64)
-            for low in range(0, len(parts), 512):
-                high = min(low + 512, len(parts))
-                keys = band_keys(signatures(np.concatenate(parts[low:high]),
-                                            at[low:high + 1] - at[low], rows * bands), rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(name)).slice(low, high - low)
-                     for name in ("member", "component")] + [_lists(keys.view(np.int64))],
-                    ["member", "component", "bands"])
-    return run
+def _around(rows: DataFrame) -> DataFrame:
+    """(bucket, centre, member): the least member of each bucket with every other one."""
+    centres = settle(rows.groupBy("bucket").agg(F.min("member").alias("centre"), F.count("*").alias("n"))
+                     .where("n > 1").select("bucket", "centre"))
+    return settle(rows.join(centres, "bucket").where("member != centre").select("bucket", "centre", "member"))
 
 
-def _centres(rows: DataFrame, per_bucket: int) -> DataFrame:
-    """(bucket, centre, its component): the least members of a bucket, or of its shares.
+def _still_open(rows: DataFrame) -> DataFrame:
+    """Members, with their component, of buckets whose members are in several components."""
+    open_buckets = settle(rows.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open"))
+                          .where("open").select("bucket"))
+    return rows.join(open_buckets, "bucket", "left_semi").select("member", "component").distinct()
 
-    Buckets of one member, or whose members are in one component already, are left out.
-    """
-    is_open = (F.min("component") != F.max("component")).alias("open")
-    least = F.min(F.struct("member", "component")).alias("least")
-    if per_bucket == 1:
-        found = rows.groupBy("bucket").agg(least, is_open).where("open")
-    else:
-        open_buckets = settle(rows.groupBy("bucket").agg(is_open).where("open").select("bucket"))
-        found = (rows.join(open_buckets, "bucket", "left_semi")
-                 .groupBy("bucket", F.pmod(F.xxhash64("member"), F.lit(per_bucket)).alias("share")).agg(least))
-    return found.select("bucket", F.col("least.member").alias("centre"),
-                        F.col("least.component").alias("centre_component"))
 
+def _common_shingles(members: DataFrame) -> np.ndarray:
+    """How often shingles occur, added up in ``SLOTS`` slots whatever the number of members."""
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                counts += np.bincount(_slot(np.frombuffer(value.as_buffer(), np.uint64)), minlength=SLOTS)
+        filled = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[filled])], ["slot", "n"])
 
-def _around(rows: DataFrame, per_bucket: int) -> DataFrame:
-    """(bucket, centre, member) of open buckets, for members of another component."""
-    return settle(rows.join(settle(_centres(rows, per_bucket)), "bucket")
-                  .where("component != centre_component").select("bucket", "centre", "member"))
+    counts = np.zeros(SLOTS, np.int64)
+    for row in (members.select("sets").mapInArrow(run, "slot long, n long")
+                .groupBy("slot").agg(F.sum("n").alias("n")).collect()):
+        counts[row.slot] = row.n
+    return counts
 
 
-def _still_open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are in several components."""
-    open_buckets = settle(rows.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open"))
-                          .where("open").select("bucket"))
-    return settle(rows.join(open_buckets, "bucket", "left_semi"))
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """(bucket, centre, member) for all members of a bucket that are in two components.
+def _prefixes(counts: np.ndarray, percent: int):
+    """The shingles by which a set can first meet a set it is linked with, rarest first.
 
-    Members outside the bucket's largest component are the centres, so no pair is missed
-    and the pairs inside that component are never listed.
+    ``most`` is the largest set such a meeting still allows: all shingles before it are not
+    shared. ``a`` to ``d`` hold, for 256 classes of shingles, whether their number is odd.
     """
-    largest = settle(rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-                     .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"))
-                     .select("bucket", F.col("most.component").alias("largest")))
-    centres = settle(rows.join(largest, "bucket").where("component != largest").select(
-        "bucket", F.col("member").alias("centre"), F.col("component").alias("centre_component")))
-    return settle(rows.join(centres, "bucket")
-                  .where("component != centre_component").select("bucket", "centre", "member"))
+    def run(batches):
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            ends, shingles, most, parity = [0], [], [], []
+            for value in column["sets"]:
+                own = np.frombuffer(value.as_buffer(), np.uint64)
+                n = len(own)
+                order = np.lexsort((own, counts[_slot(own)]))[:n - -(-percent * n // 100) + 1]
+                shingles.append(own[order])
+                left = n - np.arange(len(order))
+                most.append((left * (100 + percent) - percent * n) // percent)
+                odd = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                parity.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+                ends.append(ends[-1] + len(order))
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
+            bits = np.stack(parity)[owner.to_numpy()]
+            size = pa.array(np.array([len(value.as_buffer()) // 8 for value in column["sets"]]))
+            yield pa.RecordBatch.from_arrays(
+                [column["member"].take(owner), column["component"].take(owner), size.take(owner),
+                 pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(most)),
+                 *[pa.array(np.ascontiguousarray(bits[:, n])) for n in range(4)]],
+                ["member", "component", "n", "shingle", "most", *"abcd"])
+    return run
 
 
-def _components(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, component) of the class representatives that have a verified link."""
-    sizes = reps.select("member", "n")
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """(centre, member): every linked pair of members in two components, and few others.
+
+    An exact prefix join: shingles are put in one order, rare ones first, and two linked sets
+    share one of the first shingles of each. What their places and sizes, and the parities
+    of their shingle classes, rule out is dropped inside the join, so the rows that come out
+    follow the links between components, not the sizes of buckets.
+    """
+    rows = settle(members.mapInArrow(
+        _prefixes(_common_shingles(members), percent),
+        "member long, component long, n long, shingle long, most long, a long, b long, c long, d long"))
+    left, right = rows.alias("l"), rows.hint("merge").alias("r")
+    unlike = " + ".join(f"bit_count(l.{part} ^ r.{part})" for part in "abcd")
+    return settle(left.join(right, F.expr(
+        "l.shingle = r.shingle and l.member < r.member and l.component != r.component"
+        " and l.n <= r.most and r.n <= l.most"
+        f" and ({unlike}) * {100 + percent} <= {100 - percent} * (l.n + r.n)"))
+        .select(F.col("l.member").alias("centre"), F.col("r.member").alias("member")).distinct())
+
+
+def _components(docs: DataFrame, classes: DataFrame, ties: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that have a verified link or one of ``ties``."""
+    sizes = classes.select("member", "n")
 
     def judge(meeting: DataFrame) -> DataFrame:
-        pairs = (meeting.select(F.least("centre", "member").alias("centre"),
-                                F.greatest("centre", "member").alias("member")).distinct()
+        pairs = (meeting.select("centre", "member").distinct()
                  .join(sizes, "member")
                  .join(sizes.toDF("centre", "m"), "centre")
                  .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
@@ -244,37 +269,21 @@ def _components(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) ->
             .mapInArrow(_alike(percent), "centre long, member long, linked boolean")
             .where("linked").select("centre", "member"))
 
-    def named(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-        """With the component that the links found so far put each member in."""
-        return settle(rows.join(nodes.withColumnRenamed("node", "member"), "member", "left")
-                      .withColumn("component", F.coalesce("component", "member")))
-
     # smaller sets are linked with equal ones only: one more shingle already is too many
-    rows = reps.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select(
-        "member", F.explode("bands").alias("bucket")).withColumn("component", F.col("member"))
-    meeting = _around(rows, 1)
-    wanted = meeting.select("member").union(meeting.select("centre")).distinct()
-    sets = settle(docs.join(wanted, docs.id == wanted.member, "left_semi")
-                  .dropDuplicates(["id"]).mapInArrow(_sets(shingle), "id long, sets binary"))
-    found = [judge(meeting)]
-    nodes = components(found[0])
-    # all members of a bucket that is not one component yet, linked to its centre or not
-    rows = named(meeting.select("bucket", "member").union(
-        meeting.select("bucket", F.col("centre").alias("member")).distinct()), nodes)
-    dealt = settle(_still_open(rows).select("member", "component").distinct()
-                   .join(sets.toDF("member", "sets"), "member")
-                   .mapInArrow(_resign(rows_per_band(SHARPER, percent), SHARPER), "member long, component long, bands array<long>")
-                   .select("member", "component", F.explode("bands").alias("bucket")))
+    rows = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select(
+        "member", F.explode("bands").alias("bucket"))
+    meeting = _around(rows)
+    wanted = settle(meeting.select("member").union(meeting.select("centre")).distinct())
+    sets = settle(docs.join(classes.join(wanted, "member", "left_semi").select("member", "id", "set_key"), "id")
+                  .mapInArrow(_sets(shingle), "member long, sets binary").dropDuplicates(["member"]))
+    found = judge(meeting).union(ties)
     # who is linked to a centre may still be the only link of another member, so all stay
-    for meet in (lambda rows: _around(rows, 1), lambda rows: _around(rows, TAIL_CENTRES), _apart):
-        dealt = _still_open(named(dealt.select("member", "bucket"), nodes))
-        meeting = meet(dealt)
-        if meeting.isEmpty():
-            break
-        found.append(judge(meeting))
-        if not found[-1].isEmpty():
-            nodes = components(reduce(DataFrame.union, found))
-    return nodes
+    named = settle(meeting.select("bucket", "member").union(
+        meeting.select("bucket", F.col("centre").alias("member")).distinct())
+        .join(components(found).withColumnRenamed("node", "member"), "member", "left")
+        .withColumn("component", F.coalesce("component", "member")))
+    apart = _apart(settle(_still_open(named).join(sets, "member")), percent)
+    return components(found.union(judge(apart)))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -285,27 +294,34 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     words are taken after lower-casing A-Z. ``component_id`` is the least doc_id that links
     lead to, and ``kept`` marks the document that has it. Empty, blank and NULL texts have
     no shingles and stand alone. Rows without a doc_id cannot be named: they are linked with
-    nothing, have a NULL component and are kept. Rows that share a doc_id are one document.
-    Other columns are ignored. An empty table gives no rows.
+    nothing, have a NULL component and are kept. Rows that share a doc_id are one document,
+    which is linked with what any of their texts is; each has the size of its own set. Other columns are ignored. An empty table gives no rows.
     """
     source = docs.select(F.col(id_column).cast("long").alias("id"),
                          F.col(text_column).cast("string").alias("text"))
     signed = settle(source.mapInArrow(
         _sign(shingle, rows_per_band(BANDS, percent), "id", "text"), "id long, n long, set_key binary, bands array<long>"))
     whole = signed.where("n > 0 and id is not null")
-    classes = settle(whole.groupBy("set_key").agg(F.min("id").alias("member")))
-    reps = settle(classes.join(whole.select(F.col("id").alias("member"), "set_key", "n", "bands"),
-                               ["set_key", "member"])
-                  .dropDuplicates(["set_key", "member"]).select("member", "n", "bands"))
-    joined = _components(source, reps, shingle, percent)
-    named = settle(classes.join(joined.withColumnRenamed("node", "member"), "member", "left")
-                   .select("set_key", F.coalesce("component", "member").alias("component")))
+    # a class of equal sets has a number of its own: an id may stand for several texts
+    classes = settle(whole.groupBy("set_key").agg(
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("member", F.monotonically_increasing_id()))
+    shared = settle(whole.groupBy("id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other"))
+                    .where("one != other").select("id"))
+    ties = settle(whole.join(shared, "id").select("id", "set_key").distinct()
+                  .join(classes.select("set_key", "member"), "set_key"))
+    ties = settle(ties.join(ties.groupBy("id").agg(F.min("member").alias("centre")), "id")
+                  .where("member != centre").select("centre", "member"))
+    named = settle(classes.select("set_key", "member", "id").join(
+        _components(source, classes, ties, shingle, percent).withColumnRenamed("node", "member"), "member", "left")
+        .withColumn("component", F.coalesce("component", "member")))
+    least = settle(named.groupBy("component").agg(F.min("id").alias("component_id")))
+    named = settle(named.join(least, "component").select("set_key", "component_id"))
     alone = signed.where("not (n > 0 and id is not null)").select(
-        "id", "n", F.col("id").alias("component"))
-    return (whole.join(named, "set_key").select("id", "n", "component").unionByName(alone)
-            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.col("component").alias("component_id"),
-                    F.col("id").eqNullSafe(F.col("component")).alias("kept")))
+        "id", "n", F.col("id").alias("component_id"))
+    return (whole.join(named, "set_key").select("id", "n", "component_id").unionByName(alone)
+            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
+                    F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def op4_minhash_near_dedup(spark, folder: str) -> DataFrame:

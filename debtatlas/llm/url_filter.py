@@ -14,6 +14,7 @@ what such addresses look like.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -82,6 +83,12 @@ def lexical(rows: DataFrame) -> DataFrame:
         "suffix_bucket": _suffix_bucket(F.col("host"))})
 
 
+def with_features(rows: DataFrame) -> DataFrame:
+    """``rows`` of urls with host, path and all features that need no statistics."""
+    host, path = host_and_path(F.col("url"))
+    return lexical(rows.withColumn("host", host).withColumn("path", path))
+
+
 def listed(host: Column, words=LISTED_WORDS) -> Column:
     return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*(F.lit(word) for word in words)))
 
@@ -89,7 +96,8 @@ def listed(host: Column, words=LISTED_WORDS) -> Column:
 def fit(labelled: DataFrame) -> tuple[DataFrame, GBTClassificationModel | None]:
     """Suffix statistics and trees from rows with features and a ``label`` of 0 or 1.
 
-    Without rows of both classes there are no trees.
+    The sample is drawn from different urls, a bounded number of each class, so a url with very
+    many rows counts once. Without rows of both classes there are no trees.
     """
     stats = settle(labelled.groupBy("suffix_bucket").agg(
         F.sum("label").alias("bad"), F.count("*").alias("n")))
@@ -98,9 +106,10 @@ def fit(labelled: DataFrame) -> tuple[DataFrame, GBTClassificationModel | None]:
                           .alias("suffix_share"))
     if not 0 < bad < total:
         return shares, None
-    part = F.when(F.col("label") == 1, SAMPLE_PER_CLASS / bad).otherwise(SAMPLE_PER_CLASS / (total - bad))
-    draw = F.pmod(F.xxhash64("url", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
-    sample = settle(with_shares(labelled.where(draw < part), shares).select("label", *FEATURES))
+    different = settle(with_shares(labelled, shares).groupBy("url", "label", *FEATURES).agg(F.count("*").alias("n")))
+    sample = settle(reduce(DataFrame.unionAll, [
+        different.where(F.col("label") == label).orderBy(F.xxhash64("url", F.lit("draw")), "url")
+        .limit(SAMPLE_PER_CLASS).select("label", *FEATURES) for label in (0, 1)]))
     trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
     return shares, trees.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample))
 
@@ -111,23 +120,26 @@ def with_shares(rows: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
-          rules=RULES, words=LISTED_WORDS) -> DataFrame:
+          rules=RULES, words=LISTED_WORDS, labels: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, block_probability.
 
     The verdict is that of the longest fitting rule, else ``block`` where the trees find a
     probability above one half. NULL urls and urls without ``://`` have an empty host and
-    path and fit no rule. Without labelled urls of both classes what no rule covers is
+    path and fit no rule. The trees learn from ``labels`` (url, label 0 or 1) where they are
+    given, else from the pages themselves by the list of words. Without labelled urls of both classes what no rule covers is
     allowed, with a NULL probability. Ids are carried as they are; other columns are ignored;
     an empty table gives no rows.
     """
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"))
-    rows = rows.withColumn("host", host).withColumn("path", path)
+    rows = with_features(pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url")))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = lexical(rows.withColumn("rule", rule).withColumn("ruled", verdict))
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
     is_listed = listed(F.col("host"), words)
-    labelled = rows.where((F.col("host") != "") & (is_listed | F.coalesce(
-        F.col("ruled") != "block", F.lit(True)))).withColumn("label", is_listed.cast("int"))
+    if labels is None:
+        labelled = rows.where((F.col("host") != "") & (is_listed | F.coalesce(
+            F.col("ruled") != "block", F.lit(True)))).withColumn("label", is_listed.cast("int"))
+    else:
+        labelled = with_features(labels.select(F.col("url").cast("string").alias("url"),
+                                               F.col("label").cast("int").alias("label"))).where("label in (0, 1)")
     shares, trees = fit(labelled)
     scored = with_shares(rows, shares)
     if trees is None:

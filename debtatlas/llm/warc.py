@@ -24,13 +24,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, shared_folder, table
+from .common import scratch_folder, settle, table
 
 FILE_BYTES = 256 << 20
-RANGE_BYTES = 16 << 20
+#: Least size of a byte range, and the most ranges that a set of archives is cut into.
+RANGE_BYTES, MAX_RANGES = 16 << 20, 200_000
 _READ_BYTES = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
-_HEADER_LIMIT = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -181,7 +181,7 @@ def _member_at(handle, at: int, first: bytes, size: int) -> tuple[int, bytes | N
     except zlib.error:
         return at, None
     record = b"".join(out)
-    if not checked or b"\r\n\r\n" not in record[:_HEADER_LIMIT]:
+    if not checked or b"\r\n\r\n" not in record:
         return at, None
     return fed - len(unpack.unused_data), record
 
@@ -247,13 +247,28 @@ def read_records(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFra
 
     Gives path, offset, type, record_id, url, refers_to, payload_digest, payload_bytes and, for
     responses, payload, whose digest is checked. A record is read once, by the range it starts
-    in. Bytes that belong to no WARC member are passed over. No archives: no rows.
+    in. Headers may have any length. Bytes that belong to no WARC member are passed over. No
+    archives: no rows.
     """
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    size = max(range_bytes, -(-total // MAX_RANGES))
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + range_bytes).alias("stop"))
-    tasks = max(1, ranges.count())
-    return ranges.repartition(tasks, "path", "start").mapInArrow(_read, _RECORD)
+        F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))).alias("start"))
+    ranges = settle(ranges.select("path", "start", F.least("bytes", F.col("start") + size).alias("stop")))
+    # a range a task: by hash some would get several and others none
+    return ranges.repartitionByRange(max(1, ranges.count()), "path", "start").mapInArrow(_read, _RECORD)
+
+
+def all_read(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``records`` (with their path), written; an error if an archive gave another number of
+    them than its writer reported in the manifest."""
+    records = settle(records)
+    found = records.groupBy("path").agg(F.count("*").alias("found"))
+    wrong = (manifest.groupBy("path").agg(F.sum("records").alias("written")).join(found, "path", "full")
+             .where("not (found <=> written)").first())
+    if wrong is not None:
+        raise RuntimeError(f"{wrong.path}: {wrong.written} records written, {wrong.found} read")
+    return records
 
 
 def write_and_read(pages: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -261,10 +276,12 @@ def write_and_read(pages: DataFrame, folder: str, range_bytes: int = RANGE_BYTES
         return F.expr(f"cast(nullif(regexp_extract({column}, '^<urn:x-page:(-?[0-9]+)>$', 1), '')"
                       " as bigint)")
 
-    return read_records(write_pages(pages, folder), range_bytes).select(
-        page("record_id").alias("page_id"), "payload_bytes", "payload_digest",
-        F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
+    manifest = write_pages(pages, folder)
+    records = all_read(read_records(manifest, range_bytes).select(
+        "path", page("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), page("refers_to").alias("refers_to")), manifest)
+    return records.drop("path")
 
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
-    return write_and_read(table(spark, folder, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4()}")
+    return write_and_read(table(spark, folder, "pages"), scratch_folder(spark, "warc"))

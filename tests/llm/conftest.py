@@ -7,7 +7,9 @@ from debtatlas.llm.common import reach_workers
 
 #: Names that operators use inside, to be found among the columns of a table as well.
 CLASHES = ("bucket", "n", "component", "rank", "text_key", "id", "words", "lines", "hash", "chunk",
-           "slot", "shard", "member", "n_words", "kept", "url_length", "label", "digest")
+           "slot", "shard", "member", "n_words", "kept", "url_length", "label", "digest", "n_lines",
+           "n_removed_lines", "lines_gone", "set_key", "slice", "part", "role", "turn", "step", "failed", "least",
+           "serial", "group", "kind", "place", "positives", "found", "marks", "key", "lang", "quality", "toxic")
 
 
 @pytest.fixture(scope="session")

@@ -202,13 +202,13 @@ def test_blocks_of_two_to_six_lines_go_in_any_context(spark, frame):
             text += block + [f"own {doc} after {n}"] + ["", "menu"] * (doc % 2)
         rows.append((doc, "\n".join(text)))
     rows += [(20, "same\nsame\nsame"), (21, "x y\nz\nx y\nz\nx y\nz")]
-    got = line_dedup.without_repeats(frame(rows), pieces_of=line_dedup.pairs).collect()
+    got = line_dedup.without_repeats(frame(rows)).collect()
     want = without_runs(rows)
     assert {r.doc_id: (r.n_removed_lines, r.text) for r in got} == want
     assert all(want[doc][0] >= 20 for doc in range(1, 12)) and want[20][1] == "same\nsame\nsame"
     columns = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i, text in rows], columns)
-    assert line_dedup.without_repeats(frame(corpus()), pieces_of=line_dedup.pairs).count() == len(corpus())
+    assert line_dedup.without_repeats(frame(corpus())).count() == len(corpus())
     cut = corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()
     assert {r.doc_id: r.text for r in cut} == {i: text for i, (_, text) in want.items() if text.split()}
 
