@@ -26,8 +26,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated blocks of lines; a document of which no word is left goes."""
-    cut = line_dedup.without_repeats(docs, pieces_of=line_dedup.pairs)
-    gone = (F.col("n_removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    cut = line_dedup.without_repeats(docs)
+    removed = F.col(cut.columns[-1])
+    gone = (removed > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return _with_lengths(cut.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)).select(*docs.columns)
 
 
