@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,14 +55,42 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is settled inside is deleted at the end, but for what went through the function
+    that this gives: it settles a frame to keep.
+
+    For operators of many steps whose result needs only the last. Frames that read the
+    others must not outlive the block.
+    """
+    paths = _settled.setdefault(_application(spark), [])
+    begun, kept = len(paths), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        found = settle(df)
+        kept.add(paths[-1])
+        return found
+
+    try:
+        yield keep
+    finally:
+        new = paths[begun:]
+        paths[begun:] = [path for path in new if path in kept]
+        _delete(spark, [path for path in new if path not in kept])
+
+
 def release(spark: SparkSession) -> int:
     """Delete what ``settle`` wrote in this application; frames that read it are spent.
 
     Call it when the reports of a run have been written or collected.
     """
     paths = _settled.pop(_application(spark), [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     configuration = spark._jsparkSession.sessionState().newHadoopConf()
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(configuration).delete(place, True)
-    return len(paths)
