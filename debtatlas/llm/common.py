@@ -7,9 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from debtatlas.session import scratch_folder, settle
+from debtatlas.session import scratch_folder, settle, steps
 
-__all__ = ["reach_workers", "scratch_folder", "settle", "table"]
+__all__ = ["reach_workers", "scratch_folder", "settle", "steps", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
