@@ -7,16 +7,20 @@ at blocks finds all of them. Candidates are then compared exactly, by the weight
 five-word shingles of window and item. A window that is 80 % like an item differs in so few
 words that its fingerprint lies beyond the radius with a chance below one in a million.
 
-Windows are fingerprinted where they can matter: a window without any shingle of an item is
-not like it, so only windows around shared shingles are. Items are taken in blocks, each
-handed to the tasks; documents are read where they are and never shuffled.
+Which items a window is compared with comes from an index of shingles. A window that is 80 %
+like an item lacks at most a fifth of its shingles, so it has one of any set that weighs
+more; each item is listed under such a set of its rarest shingles. Time then follows the
+items that share rare shingles with a document, not the number of items. At this radius an
+index of the blocks alone would pass a quarter of all items to every window.
+
+Items are taken in blocks of ``ITEM_BYTES`` of text, of which the driver holds one at a time and
+the tasks get one each; documents are read once per block, where they are, and never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import settle, table
+from .common import settle, steps, table
 
 BITS, BLOCKS, BLOCK_RADIUS = 128, 8, 4
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-ITEMS_PER_BLOCK = 5_000
+#: Text of the items that are looked for in one reading of the documents.
+ITEM_BYTES = 32 << 20
 _REGION_WORDS = 1 << 14
 _FILTER_BITS = 20
 
@@ -75,34 +80,42 @@ class Items:
 
     def __init__(self, rows: list[tuple], shingle: int, percent: int) -> None:
         self.shingle, self.percent = shingle, percent
-        self.ids, self.sets, self.by_size = [], [], {}
+        self.ids, self.sets = [], []
         for item_id, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
             starts, ends, _ = words.split(data, np.array([0, len(data)]))
             hashes = words.hash_words(data, starts, ends, words.BYTES_LOWER)
-            if not len(hashes):
-                continue
-            self.by_size.setdefault(len(hashes), []).append(len(self.ids))
-            self.ids.append(item_id)
-            self.sets.append((hashes, _shingles(hashes, shingle)))
-        self.prints = {size: np.concatenate([
-            fingerprints(self.sets[i][0], np.zeros(1, np.int64), size) for i in members])
-            for size, members in self.by_size.items()}
-        #: shingle length -> (sorted shingles, item sizes they occur in)
+            if len(hashes):
+                self.ids.append(item_id)
+                self.sets.append((hashes, _shingles(hashes, shingle)))
+        self.prints = [fingerprints(hashes, np.zeros(1, np.int64), len(hashes))[0] for hashes, _ in self.sets]
+        #: shingle length -> (sorted shingles, limits and list of the items under each, quick filter)
         self.seeds = {}
-        for length in {min(size, shingle) for size in self.by_size}:
-            pairs = np.unique(np.array(
-                [(value, len(hashes)) for hashes, own in self.sets if min(len(hashes), shingle) == length
-                 for value in own.tolist()], np.uint64), axis=0)
+        for length in {min(len(hashes), shingle) for hashes, _ in self.sets}:
+            pairs = self._rarest([n for n, (hashes, _) in enumerate(self.sets) if min(len(hashes), shingle) == length])
             values, first = np.unique(pairs[:, 0], return_index=True)
             room = np.zeros(1 << _FILTER_BITS, bool)
             room[values & np.uint64(len(room) - 1)] = True
             self.seeds[length] = (values, np.append(first, len(pairs)), pairs[:, 1].astype(np.int64), room)
 
+    def _rarest(self, members: list[int]) -> np.ndarray:
+        """(shingle, item): for each item its rarest shingles, more of them than a like window lacks."""
+        known, times = np.unique(np.concatenate([np.unique(self.sets[n][1]) for n in members]), return_counts=True)
+        listed = []
+        for n in members:
+            own, weight = np.unique(self.sets[n][1], return_counts=True)
+            order = np.lexsort((own, times[np.searchsorted(known, own)]))
+            total = int(weight.sum())
+            lacking = total + (-self.percent * total // 100)
+            enough = int(np.searchsorted(np.cumsum(weight[order]), lacking, "right")) + 1
+            listed.append(np.stack([own[order[:enough]], np.full(min(enough, len(own)), n, np.uint64)], axis=1))
+        listed = np.concatenate(listed)
+        return listed[np.lexsort((listed[:, 1], listed[:, 0]))]
+
     def _regions(self, hashes: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """(text, item size) -> places of shingles that an item of that size has too."""
+        """(text, item) -> places of shingles under which the item is listed."""
         found: dict[tuple[int, int], list[int]] = {}
-        for length, (values, limits, sizes, room) in self.seeds.items():
+        for length, (values, limits, items, room) in self.seeds.items():
             grams = words.windows(hashes, length)
             at = np.flatnonzero(room[grams & np.uint64(len(room) - 1)])
             slot = np.minimum(np.searchsorted(values, grams[at]), len(values) - 1)
@@ -111,16 +124,16 @@ class Items:
             owner = np.searchsorted(first, at, "right") - 1
             inside = at + length <= first[owner + 1]
             for place, text, n in zip(at[inside].tolist(), owner[inside].tolist(), slot[inside].tolist()):
-                for size in sizes[limits[n]:limits[n + 1]].tolist():
-                    found.setdefault((text, size), []).append(place)
+                for item in items[limits[n]:limits[n + 1]].tolist():
+                    found.setdefault((text, item), []).append(place)
         return found
 
     def search(self, data: np.ndarray, limits: np.ndarray) -> Iterator[tuple]:
         """(text, item, first word, words, similarity) of the best window for each pair."""
         starts, ends, first = words.split(data, limits)
         hashes = words.hash_words(data, starts, ends, words.BYTES_LOWER)
-        for (text, size), places in self._regions(hashes, first).items():
-            own = hashes[first[text]:first[text + 1]]
+        for (text, item), places in self._regions(hashes, first).items():
+            own, size = hashes[first[text]:first[text + 1]], len(self.sets[item][0])
             length, grams = min(size, len(own)), min(size, self.shingle)
             mark = np.zeros(len(own) + 1, np.int64)
             for place in places:
@@ -131,14 +144,12 @@ class Items:
             spots = spots[spots <= len(own) - length]
             if len(own) < grams or not len(spots):
                 continue
-            prints = fingerprints(own, spots, length)
-            for n, item in enumerate(self.by_size[size]):
-                apart = np.bitwise_count(prints ^ self.prints[size][n])
-                near = (apart <= BLOCK_RADIUS).any(axis=1)
-                near[near] = apart[near].sum(axis=1) <= RADIUS
-                best = self._best(own, spots[near], length, self.sets[item][1], grams)
-                if best is not None:
-                    yield (text, self.ids[item], best[1], length, best[0])
+            apart = np.bitwise_count(fingerprints(own, spots, length) ^ self.prints[item])
+            near = (apart <= BLOCK_RADIUS).any(axis=1)
+            near[near] = apart[near].sum(axis=1) <= RADIUS
+            best = self._best(own, spots[near], length, self.sets[item][1], grams)
+            if best is not None:
+                yield (text, self.ids[item], best[1], length, best[0])
 
     def _best(self, own, spots, length, wanted, grams):
         """Exact similarity of candidate windows, the likeliest first."""
@@ -178,7 +189,7 @@ def _find(items: Items):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-            shingle: int = 5, percent: int = 80, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+            shingle: int = 5, percent: int = 80, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """A row per document and item found in it: doc_id, text_key, item_id, start_word, n_words,
     similarity of the best window (the first of equals).
 
@@ -191,10 +202,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
                          F.xxhash64(F.col(text_column).cast("string")).alias("text_key"),
                          F.col(text_column).cast("string").alias("text"))
     schema = "doc_id long, text_key long, item_id long, start_word long, n_words long, similarity double"
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
-    found = [source.sparkSession.createDataFrame([], schema)]
-    while block := [tuple(row) for row in islice(rows, items_per_block)]:
-        found.append(source.mapInArrow(_find(Items(block, shingle, percent)), schema))
+    found = []
+    with steps(docs.sparkSession) as keep:
+        items = settle(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")))
+        total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+        blocks = max(1, -(-total // item_bytes))
+        share = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+        for block in range(blocks):
+            rows = [tuple(row) for row in items.where(share == block).collect()]
+            found.append(keep(source.mapInArrow(_find(Items(rows, shingle, percent)), schema)))
     return reduce(DataFrame.union, found)
 
 

@@ -12,8 +12,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from corpora import corpus, prose
-from debtatlas.llm import decontaminate, packing, warc
+from corpora import WORDS, corpus, prose
+from debtatlas.llm import decontaminate, packing, registry, warc, words
 
 PAGES = "page_id long, url string, html string"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,23 @@ def test_pages_come_back(frame, tmp_path, range_bytes):
     assert collections.Counter(map(tuple, got)) == wanted(page_rows())
 
 
+def test_a_header_of_any_length_is_read(frame, tmp_path):
+    """An address that does not compress, so that the record's header alone spans several reads."""
+    draw = random.Random(9)
+    url = "http://a.org/" + "".join(draw.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(3 << 20))
+    rows = [(1, url, "<p>x</p>"), (2, "u", "<p>y</p>")]
+    got = warc.write_and_read(frame(rows, PAGES), f"file:{tmp_path}/w", 1 << 20).collect()
+    assert collections.Counter(map(tuple, got)) == wanted(rows)
+
+
+def test_missing_records_are_an_error(frame, tmp_path):
+    manifest = warc.write_pages(frame(page_rows(), PAGES), f"file:{tmp_path}/w")
+    records = warc.read_records(manifest).select("path", "record_id")
+    assert warc.all_read(records, manifest).count() == len(page_rows())
+    with pytest.raises(RuntimeError, match="written"):
+        warc.all_read(records.where("record_id != '<urn:x-page:200>'"), manifest)
+
+
 def test_records_hold_urls_and_payloads(frame, tmp_path):
     manifest = warc.write_pages(frame(page_rows(), PAGES), f"file:{tmp_path}/w")
     rows = warc.read_records(manifest, 3_000).collect()
@@ -227,10 +244,10 @@ def items_and_rows():
     return items, rows
 
 
-@pytest.mark.parametrize("per_block", [5_000, 6])
-def test_items_are_found_where_brute_force_finds_them(frame, per_block):
+@pytest.mark.parametrize("item_bytes", [decontaminate.ITEM_BYTES, 2_000])
+def test_items_are_found_where_brute_force_finds_them(frame, item_bytes):
     items, rows = items_and_rows()
-    got = decontaminate.matches(frame(rows), frame(items, "item_id long, text string"), items_per_block=per_block)
+    got = decontaminate.matches(frame(rows), frame(items, "item_id long, text string"), item_bytes=item_bytes)
     assert {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in got.collect()} == leaks(rows, items)
     assert len(leaks(rows, items)) > 40
 
@@ -246,6 +263,27 @@ def test_leaking_rows_go_and_the_rest_stays(frame):
     assert kept.columns == frame(rows).columns
 
 
+def test_query_over_documents_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    rows, items = ([tuple(r) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(key, "text").collect()]
+                   for name, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = registry.queries()["op8_decontamination"](spark, folder).collect()
+    want = leaks(rows, items)
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in got} == want and want
+
+
+def test_work_follows_the_items_that_share_shingles_not_their_number():
+    """Among thousands of items of one size only those that share rare shingles are looked at."""
+    draw = random.Random(12)
+    items = [(n, " ".join(draw.choice(WORDS) + str(draw.randrange(40)) for _ in range(30))) for n in range(3000)]
+    found = decontaminate.Items(items, 5, 80)
+    text = " ".join([prose(3, 400), items[7][1], prose(4, 400), items[2999][1]]).encode()
+    data, limits = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    assert sorted(r[1] for r in found.search(data, limits)) == [7, 2999]
+    starts, ends, first = words.split(data, limits)
+    assert len(found._regions(words.hash_words(data, starts, ends, words.BYTES_LOWER), first)) <= 4
+
+
 def test_blocks_cover_the_radius():
     draw = np.random.default_rng(2)
     for _ in range(300):
