@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import settle, table
+from .common import settle, steps, table
 
 #: Suffixes that one group holds at most (about 20 bytes each).
 GROUP_SUFFIXES = 1_000_000
+GROUPS_PER_TASK = 4
 #: Bits of the first, second and third word in a prefix.
 PREFIX_BITS = (6, 5, 5)
 NULL_LAST = (1 << 63) - 1
@@ -256,14 +257,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                         .groupBy("code").agg(F.sum("count")).collect()):
         counts[code] = count
     first, splits = lay_out(counts, group_suffixes)
-    lost = settle(source.select("rank", "text_key", "text")
-                  .mapInArrow(_send(min_words, first, splits), f"group long, {_BY_CHUNK}")
-                  .groupBy("group").applyInArrow(_judge, _BY_CHUNK)
-                  .groupBy("chunk").applyInArrow(
-                      _per_document, "rank long, text_key long, hashes binary, places binary"))
-    per_document = settle(lost.groupBy("rank", "text_key").agg(
-        F.collect_set(F.when(F.length("hashes") > 0, F.col("hashes"))).alias("hashes"),
-        F.collect_set(F.when(F.length("places") > 0, F.col("places"))).alias("places")))
+    # a task gets a few groups, however many there are
+    groups = int((first + splits).max())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_PER_TASK))
+    with steps(docs.sparkSession) as keep:
+        lost = settle(source.select("rank", "text_key", "text")
+                      .mapInArrow(_send(min_words, first, splits), f"group long, {_BY_CHUNK}")
+                      .repartition(tasks, "group").groupBy("group").applyInArrow(_judge, _BY_CHUNK)
+                      .groupBy("chunk").applyInArrow(
+                          _per_document, "rank long, text_key long, hashes binary, places binary"))
+        per_document = keep(lost.groupBy("rank", "text_key").agg(
+            F.collect_set(F.when(F.length("hashes") > 0, F.col("hashes"))).alias("hashes"),
+            F.collect_set(F.when(F.length("places") > 0, F.col("places"))).alias("places")))
     return (source.join(per_document, ["rank", "text_key"], "left")
             .select("doc_id", "text", "hashes", "places")
             .mapInArrow(_cut(min_words),
