@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_folder, settle, table
+from .common import scratch_folder, settle, steps, table
 
 FILE_BYTES = 256 << 20
 #: Least size of a byte range, and the most ranges that a set of archives is cut into.
@@ -260,9 +260,8 @@ def read_records(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFra
 
 
 def all_read(records: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``records`` (with their path), written; an error if an archive gave another number of
-    them than its writer reported in the manifest."""
-    records = settle(records)
+    """``records`` (written, with their path); an error if an archive gave another number of them
+    than its writer reported in the manifest."""
     found = records.groupBy("path").agg(F.count("*").alias("found"))
     wrong = (manifest.groupBy("path").agg(F.sum("records").alias("written")).join(found, "path", "full")
              .where("not (found <=> written)").first())
@@ -276,11 +275,12 @@ def write_and_read(pages: DataFrame, folder: str, range_bytes: int = RANGE_BYTES
         return F.expr(f"cast(nullif(regexp_extract({column}, '^<urn:x-page:(-?[0-9]+)>$', 1), '')"
                       " as bigint)")
 
-    manifest = write_pages(pages, folder)
-    records = all_read(read_records(manifest, range_bytes).select(
-        "path", page("record_id").alias("page_id"), "payload_bytes", "payload_digest",
-        F.col("type").alias("record_type"), page("refers_to").alias("refers_to")), manifest)
-    return records.drop("path")
+    with steps(pages.sparkSession) as keep:
+        manifest = write_pages(pages, folder)
+        records = keep(read_records(manifest, range_bytes).select(
+            "path", page("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+            F.col("type").alias("record_type"), page("refers_to").alias("refers_to")))
+        return all_read(records, manifest).drop("path")
 
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
