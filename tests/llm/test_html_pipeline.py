@@ -23,6 +23,7 @@ def texts_of(page):
     ("<script>var t='</p>';</script><style>p{}</style><p>x</p><!-- <p>no</p> --><title>t</title>", ["x"]),
     ("<p title='a>b'>q<br>r</p>", ["q r"]), ("<p>&lt;b&gt; &eacute;&#233;&#xe9; &nbsp;x", ["<b> ééé x"]),
     ("<p>cut <a href='", ["cut"]), ("<a title=\"x>link</a> y", ["link y"]), ("<p>open <script>never", ["open"]), ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]),
+    ("<p>a <svg class='i'/> b</p><p>c", ["a b", "c"]), ("x<svg><path d='1'/><text>no</text></svg>y<SVG\n/>z", ["xyz"]),
     ("</p></div>x<div>y", ["x", "y"]), ("<TABLE><TR><TD>1<TD>2</TABLE>", ["1", "2"]),
 ])
 def test_blocks(page, want):
@@ -76,11 +77,57 @@ def test_held_out_pages_are_whole(trained):
 
 
 def test_context_decides(trained):
-    """The very same blocks, read among others, are judged by what is around them."""
+    """The very same block, with the same path, is article text among an article's paragraphs and none
+    among link lists and notices: only what stands around it differs."""
+    model, pages = trained
+    found = html_extract.blocks(next(p for p in pages if sum(html_extract.marked(html_extract.blocks(p))) > 8))
+    own = [text for (_, text, _), mark in zip(found, html_extract.marked(found)) if mark][:9]
+    path = ("div", "p")
+    block = (path, own[4][:60], 0)
+    article = [(path, text, 0) for text in own[:4]] + [block] + [(path, text, 0) for text in own[5:]]
+    asides = [(("nav", "ul", "li", "a"), word, len(word)) for word in ("Home", "News", "About")]
+    clutter = asides + [(("div", ".cookie"), "We use cookies", 0), block, (("div", ".comment", "p"), own[1], 0),
+                        (("footer", "p"), "Imprint", 0)]
+    chance = model.probabilities(html_extract.features([article, clutter]), np.array([len(article), len(clutter)]))
+    among_text, among_clutter = chance[4], chance[len(article) + 4]
+    assert among_text > 0.5 > among_clutter
+
+
+def test_nothing_to_read_gives_nothing(trained):
     model, _ = trained
     assert html_extract.main_texts(model, [None, "", "<nav><a>Home</a></nav>"]) == ["", "", ""]
 
 
+def test_blocks_take_time_in_proportion():
+    """A paragraph of very many inline tags: twice the tags, about twice the time."""
+    import time
+
+    def seconds(tags):
+        start = time.perf_counter()
+        html_extract.blocks("<p>" + "<b>x</b> " * tags)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert min(seconds(40_000) for _ in range(3)) < 8 * min(seconds(10_000) for _ in range(3))
+
+
+def test_copies_of_few_pages_still_teach_the_labeller(spark, frame):
+    """Thousands of copies of five pages: all are drawn, and each text is its page's own article."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").orderBy("page_id").select("html").limit(5).collect()
+    pages = [(1000 * n + k, "u", row.html) for n, row in enumerate(rows) for k in range(400)]
+    got = {r.page_id: r.text for r in html_extract.extract(frame(pages, "page_id long, url string, html string")).collect()}
+    for n, row in enumerate(rows):
+        found = html_extract.blocks(row.html)
+        want = " ".join(t for (_, t, _), mark in zip(found, html_extract.marked(found)) if mark)
+        assert {got[1000 * n + k] for k in range(400)} == {want}
+
+
+def test_without_a_marked_page_a_rule_decides(frame):
+    page = "<nav><ul><li><a>Menu</a></li></ul></nav><div><p>Text of it.</p></div><footer>Imprint</footer>"
+    got = html_extract.extract(frame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in got} == {(1, "Text of it."), (2, "")}
+
+
 def test_batches_do_not_change_the_verdict(trained):
     model, pages = trained
     found = [html_extract.blocks(page) for page in pages[:60]]
