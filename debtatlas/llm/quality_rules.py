@@ -174,24 +174,31 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     NULL texts count as empty; doc_id is carried as it is. The base is judged from the counts;
     the other rules are tried, in measured order, only for texts that pass it. Other columns
-    are ignored, an empty table gives no rows. Write the result before filtering by its
-    columns, or use ``passing``: Spark would move such a filter below the split into words.
+    are ignored, an empty table gives no rows.
     """
     order = in_order(measure(docs, text_column, RULES))
-    parts, text = split_up(docs.select(F.col(id_column).alias("doc_id"),
-                                       F.col(text_column).alias("text")), "text")
-    counted = parts.select(
-        "doc_id", text.text, text.words, text.lines, F.size(text.words).cast("long").alias("n_words"),
-        word_chars(text.words).alias("word_chars"), symbols(text.text).alias("n_symbols"),
-        repeated_lines(text.lines).alias("n_dup_lines"),
-        repeated_words(text.words).alias("n_repeat_words"))
-    base = ((F.col("n_words") < MIN_WORDS)
-            | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-    judged = counted.withColumn("base_failed", base)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(
-            first_rejection(text, RULES, order).isNull()).alias("kept"))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+
+    def verdict(parts: Text, counts: Column) -> Column:
+        base = ((counts["n_words"] < MIN_WORDS)
+                | (100 * counts["n_repeat_words"] > REPEAT_PERCENT * counts["n_words"]))
+        kept = F.when(base, F.lit(False)).otherwise(first_rejection(parts, RULES, order).isNull())
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        return F.struct(*[counts[name].alias(name) for name in names],
+                        base.alias("base_failed"), kept.alias("kept"))
+
+    def counted(bound: Column) -> Column:
+        parts = Text(bound["text"], bound["words"], bound["lines"])
+        counts = F.struct(
+            F.size(parts.words).cast("long").alias("n_words"), word_chars(parts.words).alias("word_chars"),
+            symbols(parts.text).alias("n_symbols"), repeated_lines(parts.lines).alias("n_dup_lines"),
+            repeated_words(parts.words).alias("n_repeat_words"))
+        return _let(counts, lambda c: verdict(parts, c))
+
+    # bound inside the expression, for what ``passing`` says
+    bound = F.struct(text.alias("text"), words(text).alias("words"), lines(text).alias("lines"))
+    return docs.select(F.col(id_column).alias("doc_id"), _let(bound, counted).alias("judged")).select(
+        "doc_id", "judged.*")
 
 
 def op3_quality_rules(spark, folder: str) -> DataFrame:
