@@ -79,10 +79,14 @@ def place(rows: DataFrame, key: str, shards: list[str] | None = None, slots: int
 
 
 def write_shards(rows: DataFrame, path: str, key: str, shards: list[str] | None = None,
-                 slots: int = SLOTS, parts: int = 1, rows_per_file: int = 1_000_000) -> None:
-    """Write a folder per shard; ``parts`` tasks share each shard, by slot."""
+                 slots: int = SLOTS, rows_per_file: int = 1_000_000) -> None:
+    """Write a folder per shard. As many tasks share each shard, by slot and row, as it takes
+    for one to write some ``rows_per_file`` rows, also where most rows have one key."""
+    shards = shards or names(SHARDS)
+    parts = max(1, -(-rows.count() // (rows_per_file * len(shards))))
     (place(rows, key, shards, slots)
-     .repartition("shard", F.col("slot") % parts)
+     .withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
+     .repartition(len(shards) * parts, "shard", "__part").drop("__part")
      .write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path))
 
 

@@ -89,8 +89,12 @@ def test_placement(frame):
 
 
 def test_shard_files(frame, spark, tmp_path):
-    sharding.write_shards(frame(corpus()), str(tmp_path / "out"), "doc_id", sharding.names(4), 101, parts=2)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(corpus())
+    sharding.write_shards(frame(corpus()), str(tmp_path / "out"), "doc_id", sharding.names(4), 101, rows_per_file=5)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == len(corpus()) and out.select("shard").distinct().count() == 4
+    hot = frame([(7, str(n)) for n in range(400)])
+    sharding.write_shards(hot, str(tmp_path / "hot"), "doc_id", sharding.names(4), 101, rows_per_file=20)
+    assert len(list((tmp_path / "hot").glob("shard=*/*.parquet"))) >= 20
 
 
 def test_shard_query_equals_its_statement(spark):
@@ -124,6 +128,22 @@ def test_rules_over_urls(frame):
         assert ruled(dict(rows)[r.page_id])[3] in (None, r.verdict) or r.page_id is None
 
 
+def test_a_url_with_very_many_rows_counts_once(frame):
+    """Two urls with 20,000 rows each: both classes are learnt, and the listed one is blocked."""
+    rows = [(n, "x://casino-win.a.org/1/2?q=99" if n % 2 else "x://plain.org/3") for n in range(40_000)]
+    got = url_filter.judge(frame(rows, "page_id long, url string", clashes=()))
+    assert {(r.host, r.verdict, r["count"]) for r in got.groupBy("host", "verdict").count().collect()} == {
+        ("casino-win.a.org", "block", 20_000), ("plain.org", "allow", 20_000)}
+
+
+def test_given_labels_teach_the_trees(frame):
+    """With a table of labelled urls the list of words plays no part."""
+    labels = frame([(f"x://a{n}.org/{n}" + "/deep" * (n % 2) * 6, n % 2) for n in range(200)], "url string, label int", clashes=())
+    rows = [(1, "x://b.org/7" + "/deep" * 6), (2, "x://b.org/8"), (3, "x://casino-win.org/9")]
+    got = url_filter.judge(frame(rows, "page_id long, url string"), labels=labels).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_nothing_listed_is_allowed(frame):
     got = url_filter.judge(frame([(1, "x://a.org/1"), (2, None)], "page_id long, url string")).collect()
     assert {(r.verdict, r.block_probability) for r in got} == {("allow", None)}
