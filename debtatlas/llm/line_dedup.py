@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, steps, table
 
 #: One line in so many is a boundary.
 DIVISOR = 1
@@ -84,16 +84,17 @@ def repeated_lines(docs: DataFrame, id_column: str, text_column: str, divisor: i
                          F.col(text_column).cast("string").alias("text"),
                          F.xxhash64(F.col(text_column).cast("string")).alias("text_key"))
     pieces = _pieces(source, divisor)
-    repeated = settle(pieces.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    candidates = settle(pieces.join(repeated.hint("merge"), "hash", "left_semi"))
-    owners = settle(candidates.groupBy("hash", "chunk").agg(F.min(_place()).alias("owner"),
-                                                            F.count("*").alias("n"))
-                    .where("n > 1").drop("n"))
-    overlaps = (F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("text_key") == F.col("owner.text_key"))
-                & (F.col("first") < F.col("owner.first") + F.col("size")))
-    gone = (candidates.join(owners.hint("merge"), ["hash", "chunk"]).where(~overlaps)
-            .select(*_KEY, F.sequence("first", F.col("first") + F.col("size") - 1).alias("lines")))
-    return settle(gone.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines_gone")))
+    with steps(docs.sparkSession) as keep:
+        repeated = settle(pieces.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+        candidates = settle(pieces.join(repeated.hint("merge"), "hash", "left_semi"))
+        owners = settle(candidates.groupBy("hash", "chunk").agg(F.min(_place()).alias("owner"),
+                                                                F.count("*").alias("n"))
+                        .where("n > 1").drop("n"))
+        overlaps = (F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("text_key") == F.col("owner.text_key"))
+                    & (F.col("first") < F.col("owner.first") + F.col("size")))
+        gone = (candidates.join(owners.hint("merge"), ["hash", "chunk"]).where(~overlaps)
+                .select(*_KEY, F.sequence("first", F.col("first") + F.col("size") - 1).alias("lines")))
+        return keep(gone.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines_gone")))
 
 
 def _free(name: str, taken: list[str]) -> str:

@@ -91,7 +91,70 @@ def test_query_over_documents_equals_brute_force(spark):
 
 def test_bands_follow_the_threshold():
     assert [minhash.rows_per_band(24, 85), minhash.rows_per_band(24, 80)] == [5, 4]
-    assert [minhash.rows_per_band(minhash.SHARPER, 85), minhash.rows_per_band(minhash.SHARPER, 80)] == [16, 11]
+
+
+def test_texts_that_share_an_id_are_all_linked(frame):
+    """Two texts have the id 1; each has a near copy, and all are one document's component."""
+    one, other = prose(31, 90).split(), prose(32, 90).split()
+
+    def edited(text):
+        return " ".join([*text[:40], "edited", *text[41:]])
+
+    rows = [(1, " ".join(one)), (1, " ".join(other)), (2, edited(one)), (3, edited(other)), (4, prose(33, 90))]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(frame(order), shingle=3, percent=85).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, frame, monkeypatch):
+    """Copies with 0 to 14 edits of one base, too far from each other for most to be linked: the
+    prefix join lets out little more than the links, far from all pairs."""
+    draw = np.random.default_rng(5)
+    base = prose(41, 150).split()
+    rows = []
+    for n in range(300):
+        text = base[:]
+        for place in draw.choice(150, draw.integers(0, 15), replace=False):
+            text[place] = f"edit{n}x{place}"
+        rows.append((n, " ".join(text)))
+    seen = []
+    apart = minhash._apart
+
+    def watch(members, percent):
+        found = apart(members, percent)
+        seen.append((members.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(minhash, "_apart", watch)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(rows), shingle=3, percent=85).collect()}
+    assert got == {i: c for i, (_, c) in component_of(rows, 3, 85).items()}
+    members, pairs = seen[0]
+    assert members > 150 and pairs < members
+
+
+def test_prefixes_hold_a_shared_shingle_of_every_linked_pair():
+    """Of random linked sets, at least one shared shingle passes what the join asks for."""
+    draw = np.random.default_rng(6)
+    for percent in (80, 85):
+        for _ in range(300):
+            size = int(draw.integers(7, 90))
+            common = draw.integers(1, 1 << 62, size).astype(np.uint64)
+            sets = [np.unique(np.concatenate([common, draw.integers(1, 1 << 62, draw.integers(0, 1 + size // 9)).astype(np.uint64)]))
+                    for _ in range(2)]
+            n, m = map(len, sets)
+            both = len(np.intersect1d(*sets))
+            if 100 * both < percent * (n + m - both):
+                continue
+            batch = minhash.pa.RecordBatch.from_pydict({
+                "member": [1, 2], "component": [1, 2], "sets": minhash.pa.array([s.tobytes() for s in sets], minhash.pa.binary())})
+            counts = np.zeros(minhash.SLOTS, np.int64)
+            for own in sets:
+                counts += np.bincount(minhash._slot(own), minlength=minhash.SLOTS)
+            rows = [r for b in minhash._prefixes(counts, percent)([batch]) for r in b.to_pylist()]
+            left, right = ([r for r in rows if r["member"] == k] for k in (1, 2))
+            assert any(a["shingle"] == b["shingle"] and a["n"] <= b["most"] and b["n"] <= a["most"]
+                       and sum(((a[c] ^ b[c]) & (2 ** 64 - 1)).bit_count() for c in "abcd") * (100 + percent)
+                       <= (100 - percent) * (a["n"] + b["n"]) for a in left for b in right)
 
 
 def test_word_hashes_tell_words_apart():
@@ -152,7 +215,7 @@ def test_groups_hold_what_fits():
 
 def test_repeated_lines_equal_the_statement(frame, spark):
     rows = [row for n, row in enumerate(corpus()) if row[0] is not None and row not in corpus()[:n]]
-    got = line_dedup.without_repeats(frame(rows)).select("doc_id", "n_lines", "n_removed_lines", "text")
+    got = line_dedup.without_repeats(frame(rows)).select("doc_id", "n_lines_", "n_removed_lines_", "text")
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
@@ -166,8 +229,8 @@ def test_rows_without_id_and_repeated_rows(docs):
     for row in line_dedup.without_repeats(docs).collect():
         got[row.doc_id].append(row)
     assert len(got[70]) == 2 and got[70][0].text == got[70][1].text == prose(11, 30)
-    assert any(row.n_removed_lines > 0 for row in got[None])  # an id comes first
-    assert got[60][0].text is None and got[60][0].n_lines == 0
+    assert any(row.n_removed_lines_ > 0 for row in got[None])  # an id comes first
+    assert got[60][0].text is None and got[60][0].n_lines_ == 0
 
 
 def test_line_query_equals_its_statement(spark):
@@ -192,6 +255,21 @@ def without_runs(rows):
     return {i: (len(gone[i]), "\n".join(x for n, x in enumerate(t) if n not in gone[i])) for i, t in texts.items()}
 
 
+def test_fewer_boundaries_find_less_and_never_other_lines(frame):
+    """With a divisor above 1 what goes is part of what goes with 1."""
+    rows = [row for row in corpus() if row[0] is not None and row[0] != 70]
+    rows += [(2000 + n, "\n".join([f"own {n}"] + [f"shared line {k}" for k in range(30)] + [f"end {n}"])) for n in range(4)]
+    whole, some = ({r.doc_id: r.n_removed_lines_ for r in line_dedup.without_repeats(frame(rows), divisor=d).collect()} for d in (1, 3))
+    assert all(some[i] <= whole[i] for i in whole) and 0 < sum(some.values()) < sum(whole.values())
+    assert [whole[2000 + n] for n in range(4)] == [0, 30, 30, 30] and some[2003] > 10
+
+
+def test_columns_called_like_the_counts_stay(frame):
+    text = "a b\nc d\ne f"
+    got = line_dedup.without_repeats(frame([(1, text), (2, text)])).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_removed_lines, r.n_lines_, r.n_removed_lines_) for r in got] == [("x", "x", 3, 0), ("x", "x", 3, 3)]
+
+
 def test_blocks_of_two_to_six_lines_go_in_any_context(spark, frame):
     blocks = [[f"block {size} line {n} of it" for n in range(size)] for size in range(2, 7)]
     blocks[2][1] = ""
@@ -204,7 +282,7 @@ def test_blocks_of_two_to_six_lines_go_in_any_context(spark, frame):
     rows += [(20, "same\nsame\nsame"), (21, "x y\nz\nx y\nz\nx y\nz")]
     got = line_dedup.without_repeats(frame(rows)).collect()
     want = without_runs(rows)
-    assert {r.doc_id: (r.n_removed_lines, r.text) for r in got} == want
+    assert {r.doc_id: (r.n_removed_lines_, r.text) for r in got} == want
     assert all(want[doc][0] >= 20 for doc in range(1, 12)) and want[20][1] == "same\nsame\nsame"
     columns = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i, text in rows], columns)
