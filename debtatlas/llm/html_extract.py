@@ -26,9 +26,9 @@ from .common import table
 
 SAMPLE_PAGES, SAMPLE_CHARS, LAYOUTS = 160, 20_000, 5
 PATH_BINS, WORD_BINS, SHAPE = 128, 32, 8
-HIDDEN, EPOCHS, BATCH, RATE = 24, 6, 32, 6e-3
+HIDDEN, EPOCHS, BATCH, RATE = 24, 10, 32, 6e-3
 #: Training takes more epochs where few pages make few batches.
-LEAST_STEPS = 150
+LEAST_STEPS = 250
 
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small "
