@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (chat_format, decontaminate, filter_audit, hard_negatives, html_extract, line_dedup, minhash,
-               packing, quality_rules, sharding, substring, url_filter, warc)
+               packing, quality_rules, sharding, statements, substring, url_filter, warc)
 from .common import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,4 +34,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_sharding": sharding.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL,
-            "op11_hard_negatives": hard_negatives.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
+            "op11_hard_negatives": hard_negatives.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL,
+            **statements.STATEMENTS}
