@@ -198,6 +198,10 @@ def _common_shingles(members: DataFrame) -> np.ndarray:
     return counts
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 512) -> list[pa.RecordBatch]:
+    return [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)]
+
+
 def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -209,7 +213,7 @@ def _prefixes(counts: np.ndarray, percent: int):
     shared. ``a`` to ``d`` hold, for 256 classes of shingles, whether their number is odd.
     """
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             ends, shingles, most, parity = [0], [], [], []
             for value in column["sets"]:
