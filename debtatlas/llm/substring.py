@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from . import words
 from .common import settle, steps, table
 
-#: Suffixes that one group holds at most (about 20 bytes each), and groups that a task gets about.
-GROUP_SUFFIXES, GROUPS_PER_TASK = 250_000, 4
+#: Suffixes that one group holds at most (about 20 bytes each).
+GROUP_SUFFIXES = 1_000_000
+GROUPS_PER_TASK = 4
 #: Bits of the first, second and third word in a prefix.
 PREFIX_BITS = (6, 5, 5)
 NULL_LAST = (1 << 63) - 1
