@@ -3,10 +3,12 @@
 Signature: one hash throws a document's shingles into bins, each bin
 keeps its least value, and empty bins copy a filled one picked by their own probe
 sequence (optimal densification). Buckets: some bins make a band, equal bands meet.
-Edges: the least member of a bucket is its centre, and only (centre, member) pairs are
-compared, on full shingle sets. Where a bucket's members are not one component after that,
-they are searched for further links by an exact prefix join on their rare shingles, so links
-aside of a centre are found, and pairs inside a bucket are never listed as such. Documents
+Edges: the member of a bucket that meets most others is its centre, and only (centre, member)
+pairs are compared, on full shingle sets. Where a bucket's members are not one component after
+that, one member of each component is compared with one of the largest, in turns as long as
+that joins components. What is then left apart is searched for further links by an exact prefix
+join on rare shingles, so links aside of a centre are found, and neither pairs inside a bucket
+nor all links of a group are ever listed. Documents
 with equal sets are one class before all this. Bands have as many bins as a chance of
 ``MISS`` to overlook a pair right at the threshold allows: 5 at a similarity of 0.85, 4 at 0.8.
 """
@@ -27,6 +29,8 @@ from .components import components
 BANDS = 24
 #: Chance that a pair right at the threshold shares no bucket.
 MISS = 1e-5
+#: How often components of a bucket are compared by one member each before the exact join.
+TURNS = 8
 #: Counters for how common shingles are; what is common only decides an order.
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
@@ -168,17 +172,34 @@ def _alike(percent: int):
 
 
 def _around(rows: DataFrame) -> DataFrame:
-    """(bucket, centre, member): the least member of each bucket with every other one."""
-    centres = settle(rows.groupBy("bucket").agg(F.min("member").alias("centre"), F.count("*").alias("n"))
-                     .where("n > 1").select("bucket", "centre"))
-    return settle(rows.join(centres, "bucket").where("member != centre").select("bucket", "centre", "member"))
+    """(bucket, centre, member): the centre of each bucket with every other member.
+
+    The centre is the member that meets most others over all its buckets: what is like any
+    member of a group of copies is mostly like the one with the fewest edits.
+    """
+    sizes = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = settle(rows.join(sizes, "bucket").groupBy("member")
+                    .agg(F.sum("n").alias("met"), F.collect_list("bucket").alias("buckets"))
+                    .select("member", "met", F.explode("buckets").alias("bucket")))
+    centres = settle(shared.groupBy("bucket").agg(
+        F.max_by("member", F.struct("met", -F.col("member"))).alias("centre")))
+    return settle(shared.join(centres, "bucket").where("member != centre").select("bucket", "centre", "member"))
+
+
+def _across(rows: DataFrame, turn: int) -> DataFrame:
+    """(centre, member): in each bucket, a member of its largest component with one of each
+    other; which ones changes with ``turn``."""
+    chosen = settle(rows.groupBy("bucket", "component").agg(
+        F.max_by("member", F.xxhash64("member", F.lit(turn))).alias("member"), F.count("*").alias("n")))
+    centres = settle(chosen.groupBy("bucket").agg(F.max_by("member", F.struct("n", "member")).alias("centre")))
+    return settle(chosen.join(centres, "bucket").where("member != centre").select("centre", "member").distinct())
 
 
 def _still_open(rows: DataFrame) -> DataFrame:
-    """Members, with their component, of buckets whose members are in several components."""
+    """Rows of the buckets whose members are in several components."""
     open_buckets = settle(rows.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open"))
                           .where("open").select("bucket"))
-    return rows.join(open_buckets, "bucket", "left_semi").select("member", "component").distinct()
+    return settle(rows.join(open_buckets, "bucket", "left_semi"))
 
 
 def _common_shingles(members: DataFrame) -> np.ndarray:
@@ -282,11 +303,25 @@ def _components(docs: DataFrame, classes: DataFrame, ties: DataFrame, shingle: i
                   .mapInArrow(_sets(shingle), "member long, sets binary").dropDuplicates(["member"]))
     found = judge(meeting).union(ties)
     # who is linked to a centre may still be the only link of another member, so all stay
-    named = settle(meeting.select("bucket", "member").union(
-        meeting.select("bucket", F.col("centre").alias("member")).distinct())
-        .join(components(found).withColumnRenamed("node", "member"), "member", "left")
-        .withColumn("component", F.coalesce("component", "member")))
-    apart = _apart(settle(_still_open(named).join(sets, "member")), percent)
+    together = settle(meeting.select("bucket", "member").union(
+        meeting.select("bucket", F.col("centre").alias("member")).distinct()))
+
+    def still_open() -> DataFrame:
+        return _still_open(settle(together.join(components(found).withColumnRenamed("node", "member"), "member", "left")
+                                  .withColumn("component", F.coalesce("component", "member"))))
+
+    rest = still_open()
+    for turn in range(TURNS):
+        others = _across(rest, turn)
+        more = judge(others)
+        if more.isEmpty():
+            break
+        found = settle(found.union(more))
+        rest = still_open()
+        if 100 * more.count() < others.count():
+            break
+    members = settle(rest.select("member", "component").distinct())
+    apart = _apart(settle(members.join(sets, "member")), percent)
     return components(found.union(judge(apart)))
 
 

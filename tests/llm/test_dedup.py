@@ -132,6 +132,47 @@ def test_pairs_do_not_grow_with_the_square_of_a_group(spark, frame, monkeypatch)
     assert members > 150 and pairs < members
 
 
+def test_compared_pairs_follow_the_size_of_a_group(frame, monkeypatch):
+    """Copies with up to four edits of one base, the least ids with four: these are linked to few
+    others, and the many links aside of them must not all be listed."""
+    base = prose(43, 150).split()
+    draw = np.random.default_rng(7)
+
+    def group(size):
+        rows = []
+        for n in range(size):
+            text = base[:]
+            edits = 4 if n < size // 5 else int(draw.integers(0, 4))
+            for place in draw.choice(150, edits, replace=False):
+                text[place] = f"edit{n}x{place}"
+            rows.append((n, " ".join(text)))
+        return rows
+
+    seen = []
+
+    def watch(name):
+        step = getattr(minhash, name)
+
+        def counted(*given):
+            pairs = step(*given)
+            seen.append(pairs.count())
+            return pairs
+
+        monkeypatch.setattr(minhash, name, counted)
+
+    watch("_apart")
+    watch("_across")
+    rows = group(400)
+    counts = []
+    for part in (rows[::2], rows):
+        seen.clear()
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(part), shingle=3, percent=85).select(
+            "doc_id", "component_id").collect()}
+        assert got == {i: c for i, (_, c) in component_of(part, 3, 85).items()}
+        counts.append(sum(seen))
+    assert counts[1] < 2 * len(rows) and counts[1] <= 3 * counts[0] + 50, counts
+
+
 def test_prefixes_hold_a_shared_shingle_of_every_linked_pair():
     """Of random linked sets, at least one shared shingle passes what the join asks for."""
     draw = np.random.default_rng(6)
