@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from debtatlas.functions.labels import entity_type
 from debtatlas.functions.money import MONEY, WIDE_MONEY, mean, ratio_percent, round2
 from debtatlas.operators.segments import SELECTED, TOTAL, entity_rows
 from debtatlas.session import settle
@@ -80,6 +81,32 @@ def approximate_metrics(silver: DataFrame) -> DataFrame:
         "menor_divida_fgts", "maior_divida_fgts", round2(F.col("desvio")).alias("desvio_padrao_fgts"))
 
 
+def _exact(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per label and for the whole roll (``rotulo`` NULL): documents, amounts, and the amounts
+    below and up to the approximate median of ``answers``.
+
+    A label follows from the document, so a document has one label: each is sent once, alone,
+    and the labels' counts add up to that of the roll.
+    """
+    documents = (rows.select(DOCUMENT).where(F.col(DOCUMENT).isNotNull()).distinct()
+                 .groupBy(entity_type(F.col(DOCUMENT)).alias("rotulo"))
+                 .agg(F.count(F.lit(1)).alias("devedores_unicos")))
+    median = answers.where("rotulo is not null").select("rotulo", "mediana_aprox")
+    overall = answers.where("rotulo is null").select("mediana_aprox").scalar()
+    amount, own = F.col(SELECTED), F.col("mediana_aprox")
+    labels = (rows.select("rotulo", SELECTED).join(F.broadcast(median), "rotulo").groupBy("rotulo").agg(
+        F.count(amount).alias("com_valor"),
+        F.count_if(amount < own).alias("abaixo"), F.count_if(amount <= own).alias("ate"),
+        F.count_if(amount < overall).alias("abaixo_todos"), F.count_if(amount <= overall).alias("ate_todos"))
+        .join(F.broadcast(documents), "rotulo", "left"))
+    counts = ["devedores_unicos", "com_valor", "abaixo", "ate"]
+    both = labels.select(F.inline(F.array(
+        F.struct("rotulo", *counts),
+        F.struct(F.lit(None).cast("string").alias("rotulo"), *counts[:2],
+                 F.col("abaixo_todos").alias("abaixo"), F.col("ate_todos").alias("ate")))))
+    return both.groupBy("rotulo").agg(*[F.sum(name).alias(name) for name in counts])
+
+
 def sketch_audit(silver: DataFrame) -> DataFrame:
     """Do the approximations keep their errors? Per entity type, and for the whole roll merged
     from the types' sketches (``rotulo`` NULL): the exact number of documents, and whether the
@@ -89,13 +116,7 @@ def sketch_audit(silver: DataFrame) -> DataFrame:
     nobody = F.lit(None).cast("string")
     answers = settle(merged(sketches, ["rotulo"]).unionByName(
         merged(sketches).withColumn("rotulo", nobody)))
-    both = rows.select(F.explode(F.array(F.col("rotulo"), nobody)).alias("rotulo"), DOCUMENT, SELECTED)
-    median = F.broadcast(answers.select(F.col("rotulo").alias("de"), "mediana_aprox"))
-    ranks = (both.join(median, F.col("rotulo").eqNullSafe(F.col("de")))
-             .groupBy("rotulo").agg(
-                 F.count_distinct(DOCUMENT).alias("devedores_unicos"), F.count(SELECTED).alias("com_valor"),
-                 F.count_if(F.col(SELECTED) < F.col("mediana_aprox")).alias("abaixo"),
-                 F.count_if(F.col(SELECTED) <= F.col("mediana_aprox")).alias("ate")))
+    ranks = _exact(rows, answers)
     slack = F.col("com_valor") * RANK_ERROR + 1
     return (answers.join(F.broadcast(ranks.withColumnRenamed("rotulo", "de")),
                          F.col("rotulo").eqNullSafe(F.col("de")), "left")

@@ -1,5 +1,7 @@
 """Approximations against the exact operators, on three sizes."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,31 @@ def test_no_rows_and_no_amounts(spark):
     assert (row.total_registros, row.devedores_unicos, row.mediana_fgts) == (0, 0, None)
     empty = roll(spark, 10).withColumn("valor_divida_selecionada", F.lit(None).cast("decimal(18,2)"))
     assert sketches.approximate_metrics(empty).first().mediana_fgts is None
+
+
+def test_exact_counts_beside_the_sketches(spark):
+    """Documents that recur or are NULL, amounts that are NULL, and a label without any document."""
+    none = F.lit(None).cast("string")
+    rows = roll(spark, 3000)
+    rows = rows.union(rows.limit(500)).union(rows.limit(40).withColumn("cpf_cnpj", none))
+    rows = segments.entity_rows(rows).withColumnRenamed("tipo_pessoa", "rotulo")
+    limits = {"Pessoa Jurídica": 900, "Pessoa Física": 7000, "Documento Inválido / Outro": 12, None: 1500}
+    answers = spark.createDataFrame([(k, v) for k, v in limits.items()], "rotulo string, n long").select(
+        "rotulo", F.col("n").cast("decimal(18,2)").alias("mediana_aprox"))
+    local = [(r.rotulo, r.cpf_cnpj, r.valor_divida_selecionada) for r in rows.collect()]
+    got = {r.rotulo: (r.devedores_unicos or 0, r.com_valor, r.abaixo, r.ate)
+           for r in sketches._exact(rows, answers).collect()}
+    want = {}
+    for label in {row[0] for row in local} | {None}:
+        own = [row for row in local if label in (None, row[0])]
+        amounts = [row[2] for row in own if row[2] is not None]
+        want[label] = (len({row[1] for row in own} - {None}), len(amounts),
+                       sum(x < limits[label] for x in amounts), sum(x <= limits[label] for x in amounts))
+    assert got == want and want["Documento Inválido / Outro"][0] == 0
+
+
+def test_the_audit_sends_each_document_once(spark):
+    """Not once more for the whole roll, nor with its label or counts."""
+    plan = sketches.sketch_audit(roll(spark, 500))._jdf.queryExecution().executedPlan().toString()
+    keys = [keys for keys in re.findall(r"Exchange hashpartitioning\((.*)", plan) if "cpf_cnpj" in keys]
+    assert keys and not [k for k in keys if "rotulo" in k], keys
